@@ -1,99 +1,137 @@
-"""Token dictionaries joined to texts: typo correction and pivot rewriting."""
+"""Token dictionaries: typo correction and pivot rewriting.
+
+A dictionary is a table ``(token, value)``, unique in ``token``. Looking a text
+up means one value, or null, per token of the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as tx
-from corpusmith.operators.augment import variant_key
+from corpusmith.functions.columns import let
+from corpusmith.operators.augment import variants
 
-# A dictionary is broadcast up to this many bytes (measured, not estimated).
+# A dictionary is sent to the executors up to this many bytes (measured).
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure a table: is its content at most ``limit`` bytes?"""
-    row_bytes = sum(
-        F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns
-    ) + F.lit(16 * (len(df.columns) + 1))
-    size = df.agg(F.sum(row_bytes.cast("bigint"))).head()[0]
-    return (size or 0) <= limit
+    row_bytes = F.lit(16 * (len(df.columns) + 1)).cast("bigint")
+    for name in df.columns:
+        row_bytes += F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return (df.agg(F.sum(row_bytes)).head()[0] or 0) <= limit
 
 
-def lookup(
+def look_up(
     df: DataFrame,
+    tokens: str,
     dictionary: DataFrame,
-    on: Sequence[str],
+    output: str,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Left join to a dictionary that is unique in ``on``.
+    """Add ``output``: the dictionary's value for each entry of ``tokens``.
 
-    A dictionary of checked size is broadcast and the tokens stay where they
-    are. A larger one is joined by shuffle; as a few tokens make up much of any
-    text, each token is spread over ``salts`` partitions and the dictionary is
-    replicated that many times.
+    A dictionary of checked size goes to the executors and rows stay where they
+    are. A larger one is joined by shuffle; ``df`` then needs a unique
+    ``row_key``.
     """
-    on = list(on)
     if fits_broadcast(dictionary, broadcast_bytes):
-        return df.join(F.broadcast(dictionary), on, "left")
-    # any value works as salt as long as it is a function of the row
-    salt = F.pmod(F.xxhash64("row_key", "pos"), F.lit(salts)).cast("int")
-    replicated = dictionary.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        return df.withColumn(output, _in_place(dictionary)(F.col(tokens)))
+    return _by_join(df, tokens, dictionary, output)
+
+
+def _in_place(dictionary: DataFrame):
+    value_type = dictionary.schema["value"].dataType
+    entries = dictionary.select("token", "value").toArrow()
+    shared = dictionary.sparkSession.sparkContext.broadcast(
+        (
+            entries.column("token").combine_chunks(),
+            entries.column("value").combine_chunks(),
+        )
     )
-    return (
-        df.withColumn("_salt", salt)
-        .join(replicated, [*on, "_salt"], "left")
-        .drop("_salt")
+
+    def values_of(rows: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        found = values.take(pc.index_in(rows.flatten(), value_set=keys))
+        sizes = pc.fill_null(pc.list_value_length(rows), 0)
+        ends = pc.cumulative_sum(sizes).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, found, mask=rows.is_null())
+
+    return F.arrow_udf(values_of, f"array<{value_type.simpleString()}>")
+
+
+def _by_join(
+    df: DataFrame, tokens: str, dictionary: DataFrame, output: str
+) -> DataFrame:
+    """A few tokens make up much of any text, so each token is spread over
+    ``SALTS`` partitions and the dictionary is replicated that many times. Only
+    keys and tokens travel, not the rows they came from."""
+    exploded = df.select("row_key", F.posexplode(tokens).alias("pos", "token"))
+    salt = F.pmod(F.xxhash64("row_key", "pos"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    replicated = dictionary.select("token", "value", salts)
+    joined = exploded.withColumn("_salt", salt).join(
+        replicated, ["token", "_salt"], "left"
     )
+    # a group is the tokens of one text, so it is as large as the row it is from
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))
+    found = joined.groupBy("row_key").agg(ordered["value"].alias("_found"))
+    empty = F.array().cast(f"array<{dictionary.schema['value'].dataType.simpleString()}>")
+    value = F.when(F.col(tokens).isNotNull(), F.coalesce("_found", empty))
+    return df.join(found, "row_key", "left").withColumn(output, value).drop("_found")
 
 
-def regroup(df: DataFrame, keys: Sequence[str], item: Column, name: str) -> DataFrame:
-    """Collect the exploded parts of each row back into an array, in order.
+def correct_tokens(
+    df: DataFrame, corrections: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Replace tokens found in ``corrections (token, correction)``. 1 row.
 
-    ``item`` starts with ``pos``. A group is the tokens of one text, so it is as
-    large as the row it came from. A null text (null ``pos``) gives no items.
+    The whitespace between tokens stays as it is. If a token is listed twice,
+    its smallest correction counts.
     """
-    items = F.collect_list(F.when(F.col("pos").isNotNull(), item))
-    return df.groupBy(*keys).agg(F.sort_array(items).alias(name))
+    unique = corrections.groupBy("token").agg(F.min("correction").alias("value"))
+    pieces = df.withColumn("_pieces", tx.token_pieces(F.col("text"))).withColumn(
+        "_tokens", F.transform("_pieces", tx.strip)
+    )
+    found = look_up(pieces, "_tokens", unique, "_found", broadcast_bytes)
 
+    def fix(x: Column) -> Column:
+        piece, token, correction = x["_pieces"], x["_tokens"], x["_found"]
+        space = F.substring(piece, F.length(token) + 1, F.length(piece))
+        return F.coalesce(F.concat(correction, space), piece)
 
-def one_per_key(dictionary: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Make a dictionary unique: the smallest value wins."""
-    return dictionary.groupBy(*on).agg(F.min(value).alias(value))
+    parts = F.transform(F.arrays_zip("_pieces", "_tokens", "_found"), fix)
+    out = variants(found, {"corrected": F.array_join(parts, "")})
+    return out.drop("_pieces", "_tokens", "_found")
 
 
-def correct_tokens(df: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Replace tokens found in ``corrections (token, correction)``. 1 row.
+def pivot_dictionary(
+    forward: DataFrame, back: DataFrame, languages: Sequence[str]
+) -> DataFrame:
+    """``(token, value)``: the round-trip result per language, null if it fails.
 
-    The whitespace between tokens stays as it is.
+    ``forward`` and ``back`` are ``(lang, src, dst)``; the two steps meet here,
+    dictionary by dictionary, and not once per text.
     """
-    carried = [c for c in df.columns if c not in ("text", "aug_kind")]
-    pieces = df.select(
-        *carried, F.posexplode_outer(tx.token_pieces(F.col("text"))).alias("pos", "piece")
-    ).withColumn("token", tx.strip(F.col("piece")))
-    unique = one_per_key(corrections, ["token"], "correction")
-    joined = lookup(pieces, unique, ["token"])
-    space = F.substring(F.col("piece"), F.length("token") + 1, F.length("piece"))
-    fixed = F.when(
-        F.col("correction").isNotNull(), F.concat("correction", space)
-    ).otherwise(F.col("piece"))
-    out = regroup(
-        joined,
-        carried,
-        F.struct("pos", fixed.alias("piece"), F.lit(True).alias("real")),
-        "pieces",
+    there = forward.groupBy("lang", "src").agg(F.min("dst").alias("pivot"))
+    home = back.groupBy("lang", F.col("src").alias("pivot")).agg(
+        F.min("dst").alias("result")
     )
-    return out.select(
-        *[c for c in carried if c != "row_key"],
-        F.lit("corrected").alias("aug_kind"),
-        variant_key(F.col("row_key"), F.lit("corrected")).alias("row_key"),
-        F.when(F.size("pieces") > 0, F.array_join(F.col("pieces")["piece"], "")).alias("text"),
+    round_trip = there.join(home, ["lang", "pivot"]).where(
+        F.col("lang").isin(*languages)
+    )
+    results = [F.min(F.when(F.col("lang") == x, F.col("result"))) for x in languages]
+    return round_trip.groupBy(F.col("src").alias("token")).agg(
+        F.array(*results).alias("value")
     )
 
 
@@ -103,46 +141,28 @@ def pivot_rewrite(
     back: DataFrame,
     languages: Sequence[str] = ("en", "zh-CN", "de"),
     on_error: str = "keep",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rewrite texts through a pivot language, one row per language.
 
-    ``forward`` and ``back`` are ``(lang, src, dst)``: into the pivot language
-    and out of it again. A text with a token that either lacks is an error:
-    ``keep`` returns the original text for it, ``drop`` returns no row.
+    A text with a token that either dictionary lacks is an error: ``keep``
+    returns the original text for it, ``drop`` returns no row.
     """
     if on_error not in ("keep", "drop"):
         raise ValueError(f"on_error must be 'keep' or 'drop', not {on_error!r}")
-    carried = [c for c in df.columns if c not in ("text", "aug_kind")]
-    langs = F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang")
-    pieces = (
-        df.select(
-            *carried,
-            F.posexplode_outer(tx.token_pieces(F.col("text"))).alias("pos", "piece"),
-        )
-        .select("*", langs)
-        .withColumn("token", tx.strip(F.col("piece")))
-    )
-    there = one_per_key(forward, ["lang", "src"], "dst").select(
-        "lang", F.col("src").alias("token"), F.col("dst").alias("pivot")
-    )
-    home = one_per_key(back, ["lang", "src"], "dst").select(
-        "lang", F.col("src").alias("pivot"), F.col("dst").alias("result")
-    )
-    joined = lookup(lookup(pieces, there, ["lang", "token"]), home, ["lang", "pivot"])
-    grouped = regroup(
-        joined, [*carried, "lang"], F.struct("pos", "piece", "token", "result"), "pieces"
-    )
-    words = F.filter(F.col("pieces"), lambda x: x["token"] != "")
-    covered = F.forall(words, lambda x: x["result"].isNotNull())
-    original = F.array_join(F.col("pieces")["piece"], "")
-    rewritten = F.array_join(words["result"], " ")
-    is_text = F.size("pieces") > 0
-    if on_error == "drop":
-        grouped = grouped.where(is_text & covered)
-    kind = F.concat(F.lit("pivot_"), F.col("lang"))
-    return grouped.select(
-        *[c for c in carried if c != "row_key"],
-        kind.alias("aug_kind"),
-        variant_key(F.col("row_key"), kind).alias("row_key"),
-        F.when(is_text, F.when(covered, rewritten).otherwise(original)).alias("text"),
-    )
+    dictionary = pivot_dictionary(forward, back, languages)
+    tokens = df.withColumn("_tokens", tx.tokens(F.col("text")))
+    found = look_up(tokens, "_tokens", dictionary, "_found", broadcast_bytes)
+
+    def rewritten(i: int) -> Column:
+        def join_if_covered(words: Column) -> Column:
+            covered = F.forall(words, lambda w: w.isNotNull())
+            return F.when(covered, F.array_join(words, " "))
+
+        return let(F.transform("_found", lambda f: f[i]), join_if_covered)
+
+    texts = {f"pivot_{x}": rewritten(i) for i, x in enumerate(languages)}
+    if on_error == "keep":
+        texts = {kind: F.coalesce(t, "text") for kind, t in texts.items()}
+    out = variants(found, texts).drop("_tokens", "_found")
+    return out if on_error == "keep" else out.where(F.col("text").isNotNull())

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmith.sources.staging import stage
+
 # 4 hex digits: at most 65,536 buckets per group
 BUCKET_DIGITS = 4
 
@@ -114,8 +116,8 @@ def kth_rows(
         histogram = rows.groupBy(*groups, level).agg(
             F.count(F.lit(1)).alias("_n"), F.first(k).alias(k)
         )
-        # one row per group
-        cut = F.broadcast(_cut(histogram, groups, level, k))
+        # One row per group. Staged, or each level would run those before it again.
+        cut = F.broadcast(stage(_cut(histogram, groups, level, k), "cut"))
         rows = rows.drop(k).join(cut, [*groups, level])
     inside = W.partitionBy(*groups).orderBy(hash_column, tie)
     return (

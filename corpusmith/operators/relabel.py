@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.columns import argmax, hash_hex, let, mean_vectors, micro
 from corpusmith.operators.ranking import kth_rows, rank_rows
+from corpusmith.sources.staging import stage
 
 RANK_SEED = 42
 
@@ -133,8 +134,12 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     at most num_classes cut-offs in place.
     """
     rows = _in_micro(scored)
-    wanted = _calibrated(_joint(rows, num_classes)).where(
-        (F.col("guess") != F.col("target")) & (F.col("calibrated") > 0)
+    # staged like the cut-offs: small, and read by every pass over the rows
+    wanted = stage(
+        _calibrated(_joint(rows, num_classes)).where(
+            (F.col("guess") != F.col("target")) & (F.col("calibrated") > 0)
+        ),
+        "wanted",
     )
     order_hash = hash_hex(RANK_SEED, F.col("row_key"))
     cells = (
@@ -151,7 +156,10 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
             "calibrated",
         )
     )
-    edges = kth_rows(cells, ["target", "j"], ["shortfall"], "h", "row_key", "calibrated")
+    edges = stage(
+        kth_rows(cells, ["target", "j"], ["shortfall"], "h", "row_key", "calibrated"),
+        "edges",
+    )
     # at most num_classes rows with at most num_classes cut-offs each
     bounds = edges.groupBy("target").agg(
         F.collect_list(F.struct("j", "shortfall", "h", "row_key")).alias("_bounds")

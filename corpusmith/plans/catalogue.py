@@ -165,21 +165,26 @@ def eda_swap(spark, sf):
     return eda.eda_augment(docs, None, ["swap"]).select(*VARIANT)
 
 
-def _with_synonyms(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _with_words(spark, sf) -> tuple[DataFrame, DataFrame]:
     turns = inputs.conversations(spark, sf)
-    return turns, inputs.synonyms(inputs.vocabulary(turns))
+    return turns, stage(inputs.vocabulary(turns), "words")
+
+
+def _with_synonyms(spark, sf) -> tuple[DataFrame, DataFrame]:
+    turns, words = _with_words(spark, sf)
+    return turns, inputs.synonyms(words)
 
 
 @query
 def eda_synonym(spark, sf):
     turns, synonyms = _with_synonyms(spark, sf)
-    return eda.synonym_variants(turns, synonyms, ["synonym"]).select(*VARIANT)
+    return eda.eda_augment(turns, synonyms, ["synonym"]).select(*VARIANT)
 
 
 @query
 def eda_insert(spark, sf):
     turns, synonyms = _with_synonyms(spark, sf)
-    return eda.synonym_variants(turns, synonyms, ["insert"]).select(*VARIANT)
+    return eda.eda_augment(turns, synonyms, ["insert"]).select(*VARIANT)
 
 
 @query
@@ -196,22 +201,22 @@ def eda_notebook(spark, sf):
 
 @query
 def correct_tokens(spark, sf):
-    turns = inputs.conversations(spark, sf)
-    words = inputs.corrections(inputs.vocabulary(turns))
-    return dictionary.correct_tokens(turns, words).select(*VARIANT)
+    turns, words = _with_words(spark, sf)
+    corrections = inputs.corrections(words)
+    return dictionary.correct_tokens(turns, corrections).select(*VARIANT)
 
 
 @query
 def pivot_rewrite_keep(spark, sf):
-    turns = inputs.conversations(spark, sf)
-    forward, back = inputs.pivots(inputs.vocabulary(turns))
+    turns, words = _with_words(spark, sf)
+    forward, back = inputs.pivots(words)
     return dictionary.pivot_rewrite(turns, forward, back).select(*VARIANT)
 
 
 @query
 def pivot_rewrite_drop(spark, sf):
-    turns = inputs.conversations(spark, sf)
-    forward, back = inputs.pivots(inputs.vocabulary(turns))
+    turns, words = _with_words(spark, sf)
+    forward, back = inputs.pivots(words)
     return dictionary.pivot_rewrite(turns, forward, back, on_error="drop").select(*VARIANT)
 
 
@@ -226,8 +231,9 @@ def score_batches(spark, sf):
 
 @query
 def accumulator_counts(spark, sf):
-    turns, synonyms = _with_synonyms(spark, sf)
-    forward, back = inputs.pivots(inputs.vocabulary(turns))
+    turns, words = _with_words(spark, sf)
+    synonyms = inputs.synonyms(words)
+    forward, back = inputs.pivots(words)
     everything = augment(
         turns,
         [

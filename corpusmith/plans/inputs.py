@@ -13,6 +13,7 @@ from corpusmith.functions import text as tx
 from corpusmith.functions.columns import below_fraction, dot, hash_hex, let, softmax
 from corpusmith.operators.synth import LIST_MARKER
 from corpusmith.plans.flows import Resources
+from corpusmith.sources.staging import stage
 
 LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HANGUL_LETTERS = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
@@ -122,7 +123,7 @@ def pivots(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resources(texts: DataFrame) -> Resources:
-    words = vocabulary(texts)
+    words = stage(vocabulary(texts), "words")
     forward, back = pivots(words)
     return Resources(
         synonyms=synonyms(words),
