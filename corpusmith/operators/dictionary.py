@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusmith.functions import text as tx
 from corpusmith.functions.columns import let
 from corpusmith.operators.augment import variants
+from corpusmith.sources.staging import stage
 
 # A dictionary is sent to the executors up to this many bytes (measured).
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -30,27 +31,30 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(row_bytes)).head()[0] or 0) <= limit
 
 
-def look_up(
-    df: DataFrame,
-    tokens: str,
-    dictionary: DataFrame,
-    output: str,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Add ``output``: the dictionary's value for each entry of ``tokens``.
+class TokenLookup:
+    """A dictionary made ready for use; prepare it once and apply it often.
 
     A dictionary of checked size goes to the executors and rows stay where they
-    are. A larger one is joined by shuffle; ``df`` then needs a unique
+    are. A larger one is joined by shuffle; the rows then need a unique
     ``row_key``.
     """
-    if fits_broadcast(dictionary, broadcast_bytes):
-        return df.withColumn(output, _in_place(dictionary)(F.col(tokens)))
-    return _by_join(df, tokens, dictionary, output)
+
+    def __init__(self, dictionary: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
+        # measured, then sent or joined: computed once
+        self.dictionary = stage(dictionary.select("token", "value"), "dictionary")
+        small = fits_broadcast(self.dictionary, broadcast_bytes)
+        self._udf = _in_place(self.dictionary) if small else None
+
+    def apply(self, df: DataFrame, tokens: str, output: str) -> DataFrame:
+        """Add ``output``: the dictionary's value for each entry of ``tokens``."""
+        if self._udf is not None:
+            return df.withColumn(output, self._udf(F.col(tokens)))
+        return _by_join(df, tokens, self.dictionary, output)
 
 
 def _in_place(dictionary: DataFrame):
     value_type = dictionary.schema["value"].dataType
-    entries = dictionary.select("token", "value").toArrow()
+    entries = dictionary.toArrow()
     shared = dictionary.sparkSession.sparkContext.broadcast(
         (
             entries.column("token").combine_chunks(),
@@ -90,19 +94,23 @@ def _by_join(
     return df.join(found, "row_key", "left").withColumn(output, value).drop("_found")
 
 
-def correct_tokens(
-    df: DataFrame, corrections: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def correction_lookup(corrections: DataFrame, **options) -> TokenLookup:
+    """From ``(token, correction)``; the smallest correction of a token counts."""
+    unique = corrections.groupBy("token").agg(F.min("correction").alias("value"))
+    return TokenLookup(unique, **options)
+
+
+def correct_tokens(df: DataFrame, corrections: DataFrame | TokenLookup) -> DataFrame:
     """Replace tokens found in ``corrections (token, correction)``. 1 row.
 
-    The whitespace between tokens stays as it is. If a token is listed twice,
-    its smallest correction counts.
+    The whitespace between tokens stays as it is.
     """
-    unique = corrections.groupBy("token").agg(F.min("correction").alias("value"))
+    if isinstance(corrections, DataFrame):
+        corrections = correction_lookup(corrections)
     pieces = df.withColumn("_pieces", tx.token_pieces(F.col("text"))).withColumn(
         "_tokens", F.transform("_pieces", tx.strip)
     )
-    found = look_up(pieces, "_tokens", unique, "_found", broadcast_bytes)
+    found = corrections.apply(pieces, "_tokens", "_found")
 
     def fix(x: Column) -> Column:
         piece, token, correction = x["_pieces"], x["_tokens"], x["_found"]
@@ -114,45 +122,51 @@ def correct_tokens(
     return out.drop("_pieces", "_tokens", "_found")
 
 
-def pivot_dictionary(
-    forward: DataFrame, back: DataFrame, languages: Sequence[str]
-) -> DataFrame:
-    """``(token, value)``: the round-trip result per language, null if it fails.
+class PivotLookup(TokenLookup):
+    """Round trips through pivot languages: one result, or null, per language.
 
     ``forward`` and ``back`` are ``(lang, src, dst)``; the two steps meet here,
     dictionary by dictionary, and not once per text.
     """
-    there = forward.groupBy("lang", "src").agg(F.min("dst").alias("pivot"))
-    home = back.groupBy("lang", F.col("src").alias("pivot")).agg(
-        F.min("dst").alias("result")
-    )
-    round_trip = there.join(home, ["lang", "pivot"]).where(
-        F.col("lang").isin(*languages)
-    )
-    results = [F.min(F.when(F.col("lang") == x, F.col("result"))) for x in languages]
-    return round_trip.groupBy(F.col("src").alias("token")).agg(
-        F.array(*results).alias("value")
-    )
+
+    def __init__(
+        self,
+        forward: DataFrame,
+        back: DataFrame,
+        languages: Sequence[str] = ("en", "zh-CN", "de"),
+        **options,
+    ):
+        self.languages = tuple(languages)
+        there = forward.groupBy("lang", "src").agg(F.min("dst").alias("pivot"))
+        home = back.groupBy("lang", F.col("src").alias("pivot")).agg(
+            F.min("dst").alias("result")
+        )
+        round_trip = there.join(home, ["lang", "pivot"])
+        results = [
+            F.min(F.when(F.col("lang") == x, F.col("result"))) for x in self.languages
+        ]
+        dictionary = round_trip.groupBy(F.col("src").alias("token")).agg(
+            F.array(*results).alias("value")
+        )
+        super().__init__(dictionary, **options)
 
 
 def pivot_rewrite(
     df: DataFrame,
-    forward: DataFrame,
-    back: DataFrame,
-    languages: Sequence[str] = ("en", "zh-CN", "de"),
+    pivots: PivotLookup,
+    languages: Sequence[str] | None = None,
     on_error: str = "keep",
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Rewrite texts through a pivot language, one row per language.
+    """Rewrite texts through pivot languages, one row per language.
 
-    A text with a token that either dictionary lacks is an error: ``keep``
-    returns the original text for it, ``drop`` returns no row.
+    ``languages`` is a choice of those in ``pivots``, by default all. A text
+    with a token that has no round trip is an error: ``keep`` returns the
+    original text for it, ``drop`` returns no row.
     """
     if on_error not in ("keep", "drop"):
         raise ValueError(f"on_error must be 'keep' or 'drop', not {on_error!r}")
-    dictionary = pivot_dictionary(forward, back, languages)
     tokens = df.withColumn("_tokens", tx.tokens(F.col("text")))
-    found = look_up(tokens, "_tokens", dictionary, "_found", broadcast_bytes)
+    found = pivots.apply(tokens, "_tokens", "_found")
 
     def rewritten(i: int) -> Column:
         def join_if_covered(words: Column) -> Column:
@@ -161,7 +175,8 @@ def pivot_rewrite(
 
         return let(F.transform("_found", lambda f: f[i]), join_if_covered)
 
-    texts = {f"pivot_{x}": rewritten(i) for i, x in enumerate(languages)}
+    chosen = pivots.languages if languages is None else languages
+    texts = {f"pivot_{x}": rewritten(pivots.languages.index(x)) for x in chosen}
     if on_error == "keep":
         texts = {kind: F.coalesce(t, "text") for kind, t in texts.items()}
     out = variants(found, texts).drop("_tokens", "_found")

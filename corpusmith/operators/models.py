@@ -23,7 +23,9 @@ class TextModelSpec:
     """Features and hyper-parameters of one classifier.
 
     ``unit`` is "word" or "char", ``ngram`` the n-gram length. ``max_tokens``
-    cuts long inputs off; the default uses the whole text.
+    cuts long inputs off; the default uses the whole text. ``idf`` weights the
+    features, at the price of one more pass over the training set; the classifier
+    standardises them anyway, which undoes any such weighting.
     """
 
     unit: str = "word"
@@ -33,6 +35,7 @@ class TextModelSpec:
     reg_param: float = 0.01
     num_classes: int = 7
     max_tokens: int | None = None
+    idf: bool = False
 
 
 # Four models that differ in what they see of a text.
@@ -63,11 +66,16 @@ def build_pipeline(spec: TextModelSpec) -> Pipeline:
     if spec.ngram > 1:
         stages.append(NGram(n=spec.ngram, inputCol=column, outputCol="_grams"))
         column = "_grams"
-    stages += [
-        HashingTF(inputCol=column, outputCol="_tf", numFeatures=spec.num_features),
-        IDF(inputCol="_tf", outputCol="_features"),
+    stages.append(
+        HashingTF(inputCol=column, outputCol="_tf", numFeatures=spec.num_features)
+    )
+    column = "_tf"
+    if spec.idf:
+        stages.append(IDF(inputCol="_tf", outputCol="_idf"))
+        column = "_idf"
+    stages.append(
         LogisticRegression(
-            featuresCol="_features",
+            featuresCol=column,
             labelCol="labels",
             rawPredictionCol="_raw",
             probabilityCol="_probability",
@@ -75,8 +83,8 @@ def build_pipeline(spec: TextModelSpec) -> Pipeline:
             family="multinomial",
             maxIter=spec.max_iter,
             regParam=spec.reg_param,
-        ),
-    ]
+        )
+    )
     return Pipeline(stages=stages)
 
 

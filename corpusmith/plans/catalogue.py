@@ -209,15 +209,15 @@ def correct_tokens(spark, sf):
 @query
 def pivot_rewrite_keep(spark, sf):
     turns, words = _with_words(spark, sf)
-    forward, back = inputs.pivots(words)
-    return dictionary.pivot_rewrite(turns, forward, back).select(*VARIANT)
+    pivots = dictionary.PivotLookup(*inputs.pivots(words))
+    return dictionary.pivot_rewrite(turns, pivots).select(*VARIANT)
 
 
 @query
 def pivot_rewrite_drop(spark, sf):
     turns, words = _with_words(spark, sf)
-    forward, back = inputs.pivots(words)
-    return dictionary.pivot_rewrite(turns, forward, back, on_error="drop").select(*VARIANT)
+    pivots = dictionary.PivotLookup(*inputs.pivots(words))
+    return dictionary.pivot_rewrite(turns, pivots, on_error="drop").select(*VARIANT)
 
 
 @query
@@ -233,12 +233,12 @@ def score_batches(spark, sf):
 def accumulator_counts(spark, sf):
     turns, words = _with_words(spark, sf)
     synonyms = inputs.synonyms(words)
-    forward, back = inputs.pivots(words)
+    pivots = dictionary.PivotLookup(*inputs.pivots(words))
     everything = augment(
         turns,
         [
             lambda base: eda.eda_augment(base, synonyms),
-            lambda base: dictionary.pivot_rewrite(base, forward, back),
+            lambda base: dictionary.pivot_rewrite(base, pivots),
             lambda base: naive_augment(base, LATIN),
         ],
     )

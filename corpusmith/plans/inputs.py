@@ -6,11 +6,17 @@ from their texts by fixed rules; the oracles apply the same rules in SQL.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as tx
 from corpusmith.functions.columns import below_fraction, dot, hash_hex, let, softmax
+from corpusmith.operators.dictionary import PivotLookup, correction_lookup
+from corpusmith.operators.eda import synonym_lookup
 from corpusmith.operators.synth import LIST_MARKER
 from corpusmith.plans.flows import Resources
 from corpusmith.sources.staging import stage
@@ -19,7 +25,6 @@ LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HANGUL_LETTERS = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 LANGUAGES = ("en", "zh-CN", "de")
 NUM_CLASSES = 10
-DIMS = 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +35,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores on inputs of fewer splits than cores; large inputs are
     left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # observe() keeps Catalyst from moving later filters below the repartition,
+    # where they would run on the few original splits
+    name = f"spread-{uuid.uuid4().hex}"
+    return df.repartition(cores).observe(name, F.count(F.lit(1)).alias("n"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,12 +134,10 @@ def pivots(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resources(texts: DataFrame) -> Resources:
     words = stage(vocabulary(texts), "words")
-    forward, back = pivots(words)
     return Resources(
-        synonyms=synonyms(words),
-        forward=forward,
-        back=back,
-        corrections=corrections(words),
+        synonyms=synonym_lookup(synonyms(words)),
+        pivots=PivotLookup(*pivots(words), LANGUAGES),
+        corrections=correction_lookup(corrections(words)),
         recover=lambda prompts: prompts.select(
             "row_key", F.concat("prompt", corrected_json(F.col("row_key"))).alias("output")
         ),
@@ -199,10 +207,9 @@ def embedding_folds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 def centroids(learn: DataFrame) -> DataFrame:
     """One row: array of the class centroids, in class order.
 
-    One average per dimension, merged before the shuffle; classes x dimensions
-    numbers in all.
+    A vector mean, merged before the shuffle; classes x dimensions numbers in all.
     """
-    mean = F.array(*[F.avg(F.col("v")[d]) for d in range(DIMS)])
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("v"))))
     per_class = learn.groupBy("target").agg(mean.alias("c"))
     classes = F.sort_array(F.collect_list(F.struct("target", "c")))
     return per_class.agg(classes["c"].alias("c"))
