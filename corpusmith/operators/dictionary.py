@@ -88,10 +88,10 @@ def _by_join(
     )
     # a group is the tokens of one text, so it is as large as the row it is from
     ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))
-    found = joined.groupBy("row_key").agg(ordered["value"].alias("_found"))
+    found = joined.groupBy("row_key").agg(ordered["value"].alias("_hits"))
     empty = F.array().cast(f"array<{dictionary.schema['value'].dataType.simpleString()}>")
-    value = F.when(F.col(tokens).isNotNull(), F.coalesce("_found", empty))
-    return df.join(found, "row_key", "left").withColumn(output, value).drop("_found")
+    value = F.when(F.col(tokens).isNotNull(), F.coalesce("_hits", empty))
+    return df.join(found, "row_key", "left").withColumn(output, value).drop("_hits")
 
 
 def correction_lookup(corrections: DataFrame, **options) -> TokenLookup:
