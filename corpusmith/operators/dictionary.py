@@ -49,7 +49,8 @@ class TokenLookup:
         """Add ``output``: the dictionary's value for each entry of ``tokens``."""
         if self._udf is not None:
             return df.withColumn(output, self._udf(F.col(tokens)))
-        return _by_join(df, tokens, self.dictionary, output)
+        joined = salted_join(explode_tokens(df, tokens), self.dictionary, ["token"])
+        return collect_back(df, tokens, joined, "value", output)
 
 
 def _in_place(dictionary: DataFrame):
@@ -73,25 +74,36 @@ def _in_place(dictionary: DataFrame):
     return F.arrow_udf(values_of, f"array<{value_type.simpleString()}>")
 
 
-def _by_join(
-    df: DataFrame, tokens: str, dictionary: DataFrame, output: str
-) -> DataFrame:
-    """A few tokens make up much of any text, so each token is spread over
-    ``SALTS`` partitions and the dictionary is replicated that many times. Only
-    keys and tokens travel, not the rows they came from."""
-    exploded = df.select("row_key", F.posexplode(tokens).alias("pos", "token"))
+def explode_tokens(df: DataFrame, tokens: str) -> DataFrame:
+    """``(row_key, pos, token)``: only what the join needs travels."""
+    return df.select("row_key", F.posexplode(tokens).alias("pos", "token"))
+
+
+def salted_join(tokens: DataFrame, dictionary: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of exploded tokens to a dictionary too large to broadcast.
+
+    A few tokens make up much of any text, so each token is spread over
+    ``SALTS`` partitions and the dictionary is replicated that many times.
+    """
     salt = F.pmod(F.xxhash64("row_key", "pos"), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    replicated = dictionary.select("token", "value", salts)
-    joined = exploded.withColumn("_salt", salt).join(
-        replicated, ["token", "_salt"], "left"
+    return (
+        tokens.withColumn("_salt", salt)
+        .join(dictionary.select("*", salts), [*on, "_salt"], "left")
+        .drop("_salt")
     )
+
+
+def collect_back(
+    df: DataFrame, tokens: str, joined: DataFrame, value: str, output: str
+) -> DataFrame:
+    """Add the joined values to their rows again, in token order."""
     # a group is the tokens of one text, so it is as large as the row it is from
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))
-    found = joined.groupBy("row_key").agg(ordered["value"].alias("_hits"))
-    empty = F.array().cast(f"array<{dictionary.schema['value'].dataType.simpleString()}>")
-    value = F.when(F.col(tokens).isNotNull(), F.coalesce("_hits", empty))
-    return df.join(found, "row_key", "left").withColumn(output, value).drop("_hits")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", value)))[value]
+    hits = joined.groupBy("row_key").agg(ordered.alias("_hits"))
+    empty = F.array().cast(f"array<{joined.schema[value].dataType.simpleString()}>")
+    values = F.when(F.col(tokens).isNotNull(), F.coalesce("_hits", empty))
+    return df.join(hits, "row_key", "left").withColumn(output, values).drop("_hits")
 
 
 def correction_lookup(corrections: DataFrame, **options) -> TokenLookup:

@@ -155,9 +155,14 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
             "row_key",
             "calibrated",
         )
+        # about 2,000 coarse steps first: tasks merge those before the shuffle,
+        # and the fine histogram then only covers the step with the cut-off
+        .withColumn("step", F.floor(F.col("shortfall") / 1000).cast("int"))
     )
     edges = stage(
-        kth_rows(cells, ["target", "j"], ["shortfall"], "h", "row_key", "calibrated"),
+        kth_rows(
+            cells, ["target", "j"], ["step", "shortfall"], "h", "row_key", "calibrated"
+        ),
         "edges",
     )
     # at most num_classes rows with at most num_classes cut-offs each

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmith.functions import text as tx
 from corpusmith.functions.columns import below_fraction, dot, hash_hex, let, softmax
 from corpusmith.operators.dictionary import PivotLookup, correction_lookup
-from corpusmith.operators.eda import synonym_lookup
+from corpusmith.operators.eda import SynonymLookup
 from corpusmith.operators.synth import LIST_MARKER
 from corpusmith.plans.flows import Resources
 from corpusmith.sources.staging import stage
@@ -135,7 +135,7 @@ def pivots(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resources(texts: DataFrame) -> Resources:
     words = stage(vocabulary(texts), "words")
     return Resources(
-        synonyms=synonym_lookup(synonyms(words)),
+        synonyms=SynonymLookup(synonyms(words)),
         pivots=PivotLookup(*pivots(words), LANGUAGES),
         corrections=correction_lookup(corrections(words)),
         recover=lambda prompts: prompts.select(

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="corpusmith-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
@@ -19,9 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="corpusmith-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _scratch()
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.operators import dictionary as di
 from corpusmith.operators.augment import augment, naive_augment, noise_filtering
-from corpusmith.operators.eda import ALL_OPS, EDA_SEED, NOTEBOOK_OPS, eda_augment, synonym_lookup
+from corpusmith.operators.eda import ALL_OPS, EDA_SEED, NOTEBOOK_OPS, SynonymLookup, eda_augment
 from corpusmith.operators.models import score_batches
 from corpusmith.profiles import KOREAN
 
@@ -68,7 +68,7 @@ def synonym_table(spark):
 
 @pytest.mark.parametrize("broadcast_bytes", [di.BROADCAST_BYTES, 0])
 def test_eda_matches_brute_force(corpus, synonym_table, broadcast_bytes):
-    lookup = synonym_lookup(synonym_table, broadcast_bytes=broadcast_bytes)
+    lookup = SynonymLookup(synonym_table, broadcast_bytes=broadcast_bytes)
     rows = eda_augment(corpus(TEXTS), lookup).collect()
     assert len(rows) == 5 * len(TEXTS)
     assert len({r.row_key for r in rows}) == len(rows)
