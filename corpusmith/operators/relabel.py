@@ -170,16 +170,18 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
         F.collect_list(F.struct("j", "shortfall", "h", "row_key")).alias("_bounds")
     )
 
-    def within(bound: Column) -> Column:
-        mine = F.struct(
-            _shortfall(F.transform("probs", micro), F.col("target"), bound["j"]),
-            order_hash,
-            F.col("row_key"),
-        )
-        return mine <= F.struct(bound["shortfall"], bound["h"], bound["row_key"])
-
-    in_cell = F.coalesce(F.exists("_bounds", within), F.lit(False))
-    suggested = argmax(F.transform("probs", micro))
+    def in_any_cell(mine: Column) -> Column:
+        def within(bound: Column) -> Column:
+            shortfall = _shortfall(mine["p"], F.col("target"), bound["j"])
+            row = F.struct(shortfall, mine["h"], F.col("row_key"))
+            return row <= F.struct(bound["shortfall"], bound["h"], bound["row_key"])
+
+        return F.exists("_bounds", within)
+
+    p = F.transform("probs", micro)
+    mine = F.struct(p.alias("p"), order_hash.alias("h"))
+    in_cell = F.coalesce(let(mine, in_any_cell), F.lit(False))
+    suggested = argmax(p)
     return (
         scored.join(F.broadcast(bounds), "target", "left")
         .withColumn("suggested", suggested)

@@ -323,7 +323,8 @@ def stream_parse_generations(spark, sf):
 
 
 def _synthetic(spark, sf) -> DataFrame:
-    titles = synth.parse_generations(_generations(spark, sf))
+    # parsed once; numbering and merging read the titles several times
+    titles = stage(synth.parse_generations(_generations(spark, sf)), "titles")
     key = F.concat_ws("#", "row_key", "title_no")
     return synth.finalize_synthetic(titles.withColumn("row_key", key), ["http"])
 
