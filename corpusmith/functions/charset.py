@@ -2,8 +2,8 @@
 
 Java tests the members of ``[...]`` one range after another, so a class with a
 dozen ranges costs a dozen calls for every character that is *not* in it. Here
-the Latin-1 members become a bit set, and the other ranges are looked at only
-for characters beyond Latin-1.
+the Latin-1 members become a bit set, and an intersection keeps the other ranges
+from being looked at for any Latin-1 character.
 """
 
 from __future__ import annotations
@@ -76,21 +76,12 @@ class CharSet:
             if hi >= _LATIN1_END
         )
 
-    def one(self) -> str:
-        """Regex for one member, fast where members are rare.
-
-        Not for repetition: Java recurses once per round of a repeated
-        alternation, so a long run would overflow its stack.
-        """
-        low, high = self._latin1(), self._beyond()
-        options = [f"[{low}]"] * bool(low)
-        if high:
-            options.append(rf"(?=[^\x00-\xff])[{high}]")
-        return f"(?:{'|'.join(options)})"
-
     def klass(self) -> str:
-        """Ordinary ``[...]`` regex, for use with ``+`` and ``*``."""
-        return f"[{self._latin1()}{self._beyond()}]"
+        """Java regex character class."""
+        low, high = self._latin1(), self._beyond()
+        if low and high:
+            high = rf"[[^\x00-\xff]&&[{high}]]"
+        return f"[{low}{high}]"
 
     def coarse(self) -> CharSet:
         """A superset with at most one range beyond Latin-1."""

@@ -111,7 +111,7 @@ def remove_signal(text: Column, profile: TextProfile) -> Column:
 
 def count_noise(text: Column, profile: TextProfile) -> Column:
     """Length of what ``remove_signal`` leaves."""
-    return count_matches(text, profile.signal.complement().one())
+    return count_matches(text, profile.signal.complement().klass())
 
 
 def reduce_text(text: Column, profile: TextProfile) -> Column:
@@ -138,11 +138,11 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
     """
     terms = profile.allowed_terms
     singles = CharSet.chars("".join(t for t in terms if len(t) == 1))
-    noise = (profile.signal | singles).complement().one()
+    noise = (profile.signal | singles).complement().klass()
     live_piece = _live_piece_pattern(terms)
 
     def kept(x: Column) -> Column:
-        return F.length(F.regexp_replace(x, singles.one(), ""))
+        return F.length(F.regexp_replace(x, singles.klass(), ""))
 
     def corrected(t: Column, live: Column) -> Column:
         return let(
@@ -190,15 +190,18 @@ def _live_piece_pattern(terms: Sequence[str]) -> str:
     rests: dict[str, list[str]] = {}
     for t in sorted(minimal):
         rests.setdefault(t[0], []).append(t[1:])
-    # Group the terms by first character, a few characters per guarded group:
-    # most positions fail on the guards and never see the single terms.
-    groups = [CharSet.chars("".join(triggers)).one()]
+    # Group the terms by first character, a few characters per group, guarded by
+    # the group's first and second characters: most positions fail on the guards
+    # and never see the single terms.
+    groups = [CharSet.chars("".join(triggers)).klass()]
     firsts = sorted(rests, key=lambda c: (ord(c) > 0xFF, -ord(c)))
     for i in range(0, len(firsts), 8):
         group = firsts[i : i + 8]
         options = "|".join(_term_branch(c, rests[c]) for c in group)
-        groups.append(f"(?={CharSet.chars(''.join(group)).one()})(?:{options})")
-    starts = CharSet.chars("".join(triggers | rests.keys())).one()
+        seconds = CharSet.chars("".join(r[0] for c in group for r in rests[c])).klass()
+        guard = CharSet.chars("".join(group)).klass() + seconds
+        groups.append(f"(?={guard})(?:{options})")
+    starts = CharSet.chars("".join(triggers | rests.keys())).klass()
     return f"(?<!{run}){run}*?(?={starts})(?:{'|'.join(groups)}){run}*"
 
 
@@ -219,7 +222,7 @@ def keep_allowed(text: Column, profile: TextProfile) -> Column:
 
 
 def remove_special(text: Column, profile: TextProfile) -> Column:
-    return F.regexp_replace(text, profile.plain.complement().one(), "")
+    return F.regexp_replace(text, profile.plain.complement().klass(), "")
 
 
 # fixed value: the quotation marks, commas and backslashes generated text loses
@@ -227,7 +230,7 @@ QUOTES = '"“”‘’«»„\\,'
 
 
 def remove_quotes(text: Column) -> Column:
-    return F.regexp_replace(text, CharSet.chars(QUOTES).one(), "")
+    return F.regexp_replace(text, CharSet.chars(QUOTES).klass(), "")
 
 
 # --- generated text ---------------------------------------------------------

@@ -80,7 +80,7 @@ class TextProfile:
     @property
     def noise_pattern(self) -> str:
         """One noise character: an isolated capital or a disallowed character."""
-        disallowed = self.allowed.complement().one()
+        disallowed = self.allowed.complement().klass()
         if self.isolated_capital_is_noise:
             return f"(?<![A-Z])[A-Z](?![A-Z])|{disallowed}"
         return disallowed
