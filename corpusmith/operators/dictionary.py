@@ -149,7 +149,8 @@ class PivotLookup(TokenLookup):
         **options,
     ):
         self.languages = tuple(languages)
-        there = forward.groupBy("lang", "src").agg(F.min("dst").alias("pivot"))
+        wanted = forward.where(F.col("lang").isin(*self.languages))
+        there = wanted.groupBy("lang", "src").agg(F.min("dst").alias("pivot"))
         home = back.groupBy("lang", F.col("src").alias("pivot")).agg(
             F.min("dst").alias("result")
         )

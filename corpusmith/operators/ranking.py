@@ -105,8 +105,7 @@ def kth_rows(
     fewer than k rows yields its last row. Each of the ``values`` has a bounded
     number of distinct integers. A histogram over the first value, then over the
     next, then over the hash buckets, narrows the search down to one bucket per
-    group before anything is sorted. The number of groups must be bounded, as
-    the cuts are broadcast. Result: ``groups`` and the order columns,
+    group before anything is sorted. Result: ``groups`` and the order columns,
     one row per group.
     """
     groups, values = list(groups), list(values)
@@ -116,8 +115,9 @@ def kth_rows(
         histogram = rows.groupBy(*groups, level).agg(
             F.count(F.lit(1)).alias("_n"), F.first(k).alias(k)
         )
-        # One row per group. Staged, or each level would run those before it again.
-        cut = F.broadcast(stage(_cut(histogram, groups, level, k), "cut"))
+        # One row per group. Staged, or each level would run those before it again;
+        # Spark then knows its size and broadcasts it if it is small.
+        cut = stage(_cut(histogram, groups, level, k), "cut")
         rows = rows.drop(k).join(cut, [*groups, level])
     inside = W.partitionBy(*groups).orderBy(hash_column, tie)
     return (

@@ -134,7 +134,8 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     at most num_classes cut-offs in place.
     """
     rows = _in_micro(scored)
-    # staged like the cut-offs: small, and read by every pass over the rows
+    # Staged like the cut-offs: read by every pass over the rows, and of a size
+    # Spark knows, so that it broadcasts these (classes x classes) tables itself.
     wanted = stage(
         _calibrated(_joint(rows, num_classes)).where(
             (F.col("guess") != F.col("target")) & (F.col("calibrated") > 0)
@@ -143,10 +144,7 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     )
     order_hash = hash_hex(RANK_SEED, F.col("row_key"))
     cells = (
-        rows.join(
-            F.broadcast(wanted.select("target", F.col("guess").alias("j"), "calibrated")),
-            "target",
-        )
+        rows.join(wanted.select("target", F.col("guess").alias("j"), "calibrated"), "target")
         .select(
             "target",
             "j",
@@ -183,7 +181,7 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     in_cell = F.coalesce(let(mine, in_any_cell), F.lit(False))
     suggested = argmax(p)
     return (
-        scored.join(F.broadcast(bounds), "target", "left")
+        scored.join(bounds, "target", "left")
         .withColumn("suggested", suggested)
         .withColumn("is_issue", in_cell & (F.col("suggested") != F.col("target")))
         .drop("_bounds")
