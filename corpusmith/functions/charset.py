@@ -82,8 +82,3 @@ class CharSet:
         if low and high:
             high = rf"[[^\x00-\xff]&&[{high}]]"
         return f"[{low}{high}]"
-
-    def coarse(self) -> CharSet:
-        """A superset with at most one range beyond Latin-1."""
-        high = [max(lo, _LATIN1_END) for lo, hi in self.ranges if hi >= _LATIN1_END]
-        return self if not high else self | CharSet(((min(high), _LAST),))

@@ -13,8 +13,6 @@ from corpusmith.profiles import WS, TextProfile
 
 _WS_CHARS = "".join(chr(c) for lo, hi in WS.ranges for c in range(lo, hi + 1))
 
-# Decimal digits beyond ASCII start here; anything above counts as reachable.
-_OTHER_DIGITS = CharSet(((0x660, 0x669),))
 _REGEX_SPECIAL = set("\\^$.|?*+()[]{}-&~#")
 
 
@@ -95,7 +93,10 @@ def remove_terms(text: Column, terms: Sequence[str]) -> Column:
     return F.aggregate(
         F.array(*[F.lit(t) for t in terms]),
         text,
-        lambda acc, term: F.replace(acc, term, F.lit("")),
+        # most texts lack most terms, and looking is cheaper than replacing
+        lambda acc, term: F.when(
+            F.contains(acc, term), F.replace(acc, term, F.lit(""))
+        ).otherwise(acc),
     )
 
 
@@ -128,7 +129,7 @@ def hard_noise_ratio_plain(text: Column, profile: TextProfile) -> Column:
 
 
 def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
-    """The same ratio in a handful of passes, whatever the number of terms.
+    """The same ratio, in a handful of passes over Latin text.
 
     Characters that occur in no term cut the text into pieces that term removal
     cannot reach across. A piece that holds no term of two or more characters
@@ -155,7 +156,7 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
             ),
         )
 
-    def ratio(t: Column) -> Column:
+    def by_pieces(t: Column) -> Column:
         pieces = F.regexp_extract_all(t, F.lit(live_piece), F.lit(0))
         return let(
             F.array_join(pieces, "\x00"),
@@ -165,6 +166,13 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
             ).otherwise(corrected(t, live)),
         )
 
+    def ratio(t: Column) -> Column:
+        # Regexes test Latin letters much faster than others, so texts that are
+        # mostly of other scripts take the plain way.
+        mostly_latin = F.octet_length(t) * 2 < F.length(t) * 3
+        plain = hard_noise_ratio_plain(t, profile)
+        return F.when(mostly_latin, by_pieces(t)).otherwise(plain)
+
     return let(remove_spaces(text), ratio)
 
 
@@ -176,8 +184,7 @@ def _ratio_or_zero(noise: Column, total: Column) -> Column:
 def _live_piece_pattern(terms: Sequence[str]) -> str:
     """A maximal run of term characters that term or percent removal may change."""
     reachable = [t for t in terms if " " not in t]
-    in_terms = CharSet.chars("".join(reachable) + "%0123456789") | _OTHER_DIGITS
-    run = in_terms.coarse().klass()
+    run = f"[{CharSet.chars(''.join(reachable) + '%').klass()}\\p{{Nd}}]"
     first_single = next((i for i, t in enumerate(reachable) if len(t) == 1), None)
     early = reachable[:first_single]
     late = reachable[first_single:] if first_single is not None else []
