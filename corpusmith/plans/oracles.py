@@ -6,16 +6,16 @@ rules are phrased another way here.
 
 from __future__ import annotations
 
-from corpusmith.operators.sampling import ID_FORMAT, SPLIT_SEED
 from corpusmith.operators.eda import EDA_SEED
 from corpusmith.operators.relabel import RANK_SEED
+from corpusmith.operators.sampling import ID_FORMAT, SPLIT_SEED
 from corpusmith.operators.synth import (
     ANSWER_MARKER,
     FEW_SHOT_INSTRUCTION,
     LIST_MARKER,
     RECOVERY_INSTRUCTION,
 )
-from corpusmith.plans.inputs import HANGUL_LETTERS, LATIN_LETTERS, NUM_CLASSES
+from corpusmith.plans.inputs import HANGUL_LETTERS, LATIN_LETTERS
 from corpusmith.profiles import ALLOWED_TERMS, GROUP_BINS, ZERO_GROUP_BINS
 
 
@@ -24,9 +24,9 @@ def _q(text: str) -> str:
 
 
 _WS_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 WS_LIT = _q(_WS_CHARS)
 WS = (
@@ -614,5 +614,3 @@ clean AS (SELECT row_key, ID, text, target FROM sides WHERE side = 'clean'),
 {_counted('noisy', _NAIVE_KINDS)} UNION ALL
 {_counted('clean', ['original', 'synonym', 'swap', 'delete'])} UNION ALL
 SELECT 'clean', aug_kind, count(*) FROM pivoted GROUP BY aug_kind"""
-
-assert NUM_CLASSES == 10
