@@ -126,7 +126,7 @@ def leaf_shares(
 
 
 def _last_pass(slim: DataFrame) -> DataFrame:
-    """``(row_no, taken, passes)``; ``slim`` is ``(row_no, id, leaf, n, passes,
+    """``(row_no, n, passes, taken)``; ``slim`` is ``(row_no, id, leaf, n, passes,
     rest, h)``, with ``rest`` tokens to take in the last pass."""
     digits = [F.substring("h", 2 * d + 1, 2) for d in range(_CUTS)]
     edges, at = None, slim.where("rest > 0 AND n > 0")
@@ -164,9 +164,9 @@ def _last_pass(slim: DataFrame) -> DataFrame:
     )
     inside = F.greatest(F.lit(0), F.least("n", F.col(f"rest{_CUTS - 1}") - before))
     whole = joined.where(~on_edge).select(
-        "row_no", F.when(below, F.col("n")).otherwise(0).cast("long").alias("taken"), "passes"
+        "row_no", "n", "passes", F.when(below, F.col("n")).otherwise(0).cast("long").alias("taken")
     )
-    cut = joined.where(on_edge).select("row_no", inside.cast("long").alias("taken"), "passes")
+    cut = joined.where(on_edge).select("row_no", "n", "passes", inside.cast("long").alias("taken"))
     return whole.unionByName(cut)
 
 
@@ -198,9 +198,7 @@ def _decide(
         .withColumn("h", h),
         "mix-rows",
     )
-    taken = _last_pass(slim)
-    sizes = slim.select("row_no", "n")
-    return taken.join(sizes, "row_no").select(
+    return _last_pass(slim).select(
         "row_no",
         (F.col("passes") + (F.col("taken") > 0).cast("long")).alias("copies"),
         (F.col("passes") * F.col("n") + F.col("taken")).alias("tokens_taken"),
