@@ -129,7 +129,7 @@ def hard_noise_ratio_plain(text: Column, profile: TextProfile) -> Column:
 
 
 def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
-    """The same ratio, in a handful of passes over Latin text.
+    """The same ratio, in a handful of passes over the text.
 
     Characters that occur in no term cut the text into pieces that term removal
     cannot reach across. A piece that holds no term of two or more characters
@@ -166,14 +166,7 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
             ).otherwise(corrected(t, live)),
         )
 
-    def ratio(t: Column) -> Column:
-        # Regexes test Latin letters much faster than others, so texts that are
-        # mostly of other scripts take the plain way.
-        mostly_latin = F.octet_length(t) * 2 < F.length(t) * 3
-        plain = hard_noise_ratio_plain(t, profile)
-        return F.when(mostly_latin, by_pieces(t)).otherwise(plain)
-
-    return let(remove_spaces(text), ratio)
+    return let(remove_spaces(text), by_pieces)
 
 
 def _ratio_or_zero(noise: Column, total: Column) -> Column:

@@ -35,13 +35,15 @@ class TokenLookup:
     """A dictionary made ready for use; prepare it once and apply it often.
 
     A dictionary of checked size goes to the executors and rows stay where they
-    are. A larger one is joined by shuffle; the rows then need a unique
-    ``row_key``.
+    are. A larger one is joined by shuffle. The result is the same: of several
+    values of a token the smallest counts, and rows may share a ``row_key``.
     """
 
     def __init__(self, dictionary: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
+        # one value per token, the smallest, however the dictionary is used
+        unique = dictionary.groupBy("token").agg(F.min("value").alias("value"))
         # measured, then sent or joined: computed once
-        self.dictionary = stage(dictionary.select("token", "value"), "dictionary")
+        self.dictionary = stage(unique, "dictionary")
         small = fits_broadcast(self.dictionary, broadcast_bytes)
         self._udf = _in_place(self.dictionary) if small else None
 
@@ -49,8 +51,9 @@ class TokenLookup:
         """Add ``output``: the dictionary's value for each entry of ``tokens``."""
         if self._udf is not None:
             return df.withColumn(output, self._udf(F.col(tokens)))
-        joined = salted_join(explode_tokens(df, tokens), self.dictionary, ["token"])
-        return collect_back(df, tokens, joined, "value", output)
+        rows = with_row_no(df)
+        joined = salted_join(explode_tokens(rows, tokens), self.dictionary, ["token"])
+        return collect_back(rows, tokens, joined, "value", output)
 
 
 def _in_place(dictionary: DataFrame):
@@ -74,9 +77,15 @@ def _in_place(dictionary: DataFrame):
     return F.arrow_udf(values_of, f"array<{value_type.simpleString()}>")
 
 
-def explode_tokens(df: DataFrame, tokens: str) -> DataFrame:
-    """``(row_key, pos, token)``: only what the join needs travels."""
-    return df.select("row_key", F.posexplode(tokens).alias("pos", "token"))
+def with_row_no(df: DataFrame) -> DataFrame:
+    """Number the rows for a join with themselves, as keys may repeat. Stored, so
+    that a row has the same number on both sides."""
+    return stage(df.withColumn("_row_no", F.monotonically_increasing_id()), "numbered")
+
+
+def explode_tokens(rows: DataFrame, tokens: str) -> DataFrame:
+    """``(_row_no, row_key, pos, token)``: only what the join needs travels."""
+    return rows.select("_row_no", "row_key", F.posexplode(tokens).alias("pos", "token"))
 
 
 def salted_join(tokens: DataFrame, dictionary: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -85,7 +94,7 @@ def salted_join(tokens: DataFrame, dictionary: DataFrame, on: Sequence[str]) ->
     A few tokens make up much of any text, so each token is spread over
     ``SALTS`` partitions and the dictionary is replicated that many times.
     """
-    salt = F.pmod(F.xxhash64("row_key", "pos"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("_row_no", "pos"), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     return (
         tokens.withColumn("_salt", salt)
@@ -95,15 +104,16 @@ def salted_join(tokens: DataFrame, dictionary: DataFrame, on: Sequence[str]) ->
 
 
 def collect_back(
-    df: DataFrame, tokens: str, joined: DataFrame, value: str, output: str
+    rows: DataFrame, tokens: str, joined: DataFrame, value: str, output: str
 ) -> DataFrame:
     """Add the joined values to their rows again, in token order."""
     # a group is the tokens of one text, so it is as large as the row it is from
     ordered = F.sort_array(F.collect_list(F.struct("pos", value)))[value]
-    hits = joined.groupBy("row_key").agg(ordered.alias("_hits"))
+    hits = joined.groupBy("_row_no").agg(ordered.alias("_hits"))
     empty = F.array().cast(f"array<{joined.schema[value].dataType.simpleString()}>")
     values = F.when(F.col(tokens).isNotNull(), F.coalesce("_hits", empty))
-    return df.join(hits, "row_key", "left").withColumn(output, values).drop("_hits")
+    joined_back = rows.join(hits, "_row_no", "left").withColumn(output, values)
+    return joined_back.drop("_hits", "_row_no")
 
 
 def correction_lookup(corrections: DataFrame, **options) -> TokenLookup:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 def class_f1(df: DataFrame, label: str = "target", pred: str = "prediction") -> DataFrame:
     """F1 per class seen among labels or predictions; 0 without true positives.
 
+    Rows without a label are left out; a missing prediction is a miss of its label.
     Only the confusion counts (classes x classes) go past the first aggregation.
     """
-    confusion = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.col(label) == F.col(pred)
+    confusion = df.where(F.col(label).isNotNull()).groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col(label).eqNullSafe(F.col(pred))
     sides = F.array(
         F.struct(
             F.col(label).cast("int").alias("class"),
@@ -28,6 +29,7 @@ def class_f1(df: DataFrame, label: str = "target", pred: str = "prediction") ->
     # 2 tp / (2 tp + fp + fn): each true positive is seen once per side
     return (
         confusion.select(F.inline(sides))
+        .where(F.col("class").isNotNull())
         .groupBy("class")
         .agg((F.sum("tp2") / F.sum("seen")).alias("f1"))
     )

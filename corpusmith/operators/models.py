@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,7 @@ from corpusmith.profiles import WS
 class TextModelSpec:
     """Features and hyper-parameters of one classifier.
 
-    ``unit`` is "word" or "char", ``ngram`` the n-gram length. ``max_tokens``
-    cuts long inputs off; the default uses the whole text. ``idf`` weights the
+    ``unit`` is "word" or "char", ``ngram`` the n-gram length. ``idf`` weights the
     features, at the price of one more pass over the training set; the classifier
     standardises them anyway, which undoes any such weighting.
     """
@@ -34,7 +33,6 @@ class TextModelSpec:
     max_iter: int = 20
     reg_param: float = 0.01
     num_classes: int = 7
-    max_tokens: int | None = None
     idf: bool = False
 
 
@@ -55,14 +53,6 @@ def build_pipeline(spec: TextModelSpec) -> Pipeline:
         )
     ]
     column = "_tokens"
-    if spec.max_tokens is not None:
-        stages.append(
-            SQLTransformer(
-                statement=f"SELECT *, slice(_tokens, 1, {int(spec.max_tokens)}) AS _cut "
-                "FROM __THIS__"
-            )
-        )
-        column = "_cut"
     if spec.ngram > 1:
         stages.append(NGram(n=spec.ngram, inputCol=column, outputCol="_grams"))
         column = "_grams"

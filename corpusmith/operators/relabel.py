@@ -211,8 +211,9 @@ def corrected_target() -> Column:
 
 
 def apply_corrections(df: DataFrame, issues: DataFrame) -> DataFrame:
-    """Write suggestions back by row key; all other rows keep their target."""
-    new = issues.select("row_key", F.col("suggested").alias("_new"))
+    """Write suggestions back by row key; all other rows keep their target. Of
+    several suggestions for a key the smallest counts."""
+    new = issues.groupBy("row_key").agg(F.min("suggested").alias("_new"))
     return (
         df.join(new, "row_key", "left")
         .withColumn("target", F.coalesce("_new", "target"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.columns import below_fraction, hash_hex
 from corpusmith.operators.ranking import kth_rows, number_rows
+from corpusmith.sources.staging import stage
 
 # fixed value: format of the identifiers of generated rows
 ID_FORMAT = "ynat-v1_train_%05d"
@@ -42,27 +43,30 @@ def sequential_ids(
 
 
 def sample_per_class(
-    df: DataFrame, n: int = 10, num_classes: int = 7, seed: int = SPLIT_SEED
+    df: DataFrame, n: int = 10, num_classes: int | None = None, seed: int = SPLIT_SEED
 ) -> DataFrame:
-    """``n`` random rows of each class 0..num_classes-1, with their ``rank``.
+    """``n`` random rows of each class, with their ``rank``; with ``num_classes``,
+    of the classes 0..num_classes-1 alone.
 
-    The rank runs over keys only. ``rank <= n`` lets Spark keep n rows per class
-    in every task before the shuffle, so a class of any size is safe, and at most
-    n * num_classes keys come back to pick up their texts.
+    A histogram over hash buckets finds each class's n-th key; only keys up to
+    it, n per class, are ranked and come back to pick up their texts. So neither a
+    large class nor a large n brings a class into one task unsorted.
     """
+    valid = F.col("target").isNotNull()
+    if num_classes is not None:
+        valid = F.col("target").between(0, num_classes - 1)
+    draw = hash_hex(seed, F.lit("shots"), F.col("row_key"))
+    keyed = df.where(valid).select("row_key", "target", draw.alias("_hash"), F.lit(n).alias("_want"))
+    last = kth_rows(keyed, ["target"], [], "_hash", "row_key", "_want")
+    ends = stage(last.select("target", F.struct("_hash", "row_key").alias("_last")), "shots")
     order = W.partitionBy("target").orderBy("_hash", "row_key")
     keys = (
-        df.where(F.col("target").between(0, num_classes - 1))
-        .select(
-            "row_key",
-            "target",
-            hash_hex(seed, F.lit("shots"), F.col("row_key")).alias("_hash"),
-        )
-        .withColumn("rank", F.row_number().over(order))
+        keyed.join(ends, "target")
+        .where(F.struct("_hash", "row_key") <= F.col("_last"))
+        .select("row_key", F.row_number().over(order).alias("rank"))
         .where(F.col("rank") <= n)
-        .select("row_key", "rank")
     )
-    return df.join(F.broadcast(keys), "row_key")
+    return df.join(keys, "row_key")
 
 
 def split_hash(

@@ -32,8 +32,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on inputs of fewer splits than cores; large inputs are
-    left alone."""
+    """Use all cores on scans of fewer splits than cores; large inputs are left
+    alone. For scans only: their splits are known without running anything."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
@@ -68,9 +68,10 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select(
         "doc_id", (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("target")
     )
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # spread the scan: asking a join for its partitions would run it
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     key = F.col("doc_id").cast("string")
-    return spread(docs.join(labels, "doc_id")).select(
+    return docs.join(labels, "doc_id").select(
         key.alias("row_key"), key.alias("ID"), "text", "target"
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,15 @@ def write_unquoted(
     df: DataFrame, path: str, columns: Sequence[str] = ("ID", "text", "target")
 ) -> None:
     """CSV without any quoting, backslash-escaped; Spark's own CSV writer always
-    has a quote character, so the lines go through the text sink. No header row:
-    with many part files, the column order is the contract."""
-    line = unquoted_line(columns).alias("value")
-    df.select(line).write.mode("overwrite").text(path)
+    has a quote character, so the lines go through the text sink. Every part file
+    with rows has its own header line."""
+    header = ",".join(columns)
+
+    def with_header(batches):
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_pydict({"value": [header]}, batch.schema)
+            yield batch
+
+    lines = df.select(unquoted_line(columns).alias("value"))
+    lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)

@@ -162,3 +162,21 @@ def test_results_do_not_depend_on_partitioning(corpus, spark, synonym_table):
         results.append(sorted((r.row_key, r.text) for r in out.collect() if r.text is not None))
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_lookups_do_not_depend_on_the_broadcast_bound(spark, limit):
+    """Repeated tokens and row keys, gaps and repeats in n: one result either way."""
+    rows = [("k", "aa bb aa", 0), ("k", "bb cc", 1), ("m", "", 2)]
+    df = spark.createDataFrame(rows, "row_key string, text string, target int")
+    entries = spark.createDataFrame([("aa", "y"), ("aa", "x"), ("bb", "z")], "token string, correction string")
+    lookup = di.correction_lookup(entries, broadcast_bytes=limit)
+    fixed = di.correct_tokens(df, lookup).select("target", "text")
+    assert sorted(map(tuple, fixed.collect())) == [(0, "x z x"), (1, "z cc"), (2, "")]
+    pairs = [("aa", 3, "p"), ("aa", 9, "q"), ("aa", 9, "p"), ("bb", 5, "r")]
+    synonyms = SynonymLookup(spark.createDataFrame(pairs, "token string, n int, synonym string"), limit)
+    out = eda_augment(df, synonyms, ops=("synonym", "insert"))
+    got = sorted(map(tuple, out.select("target", "aug_kind", "text").collect()))
+    want = eda_augment(df, SynonymLookup(synonyms.synonyms, 1 << 20), ops=("synonym", "insert"))
+    assert got == sorted(map(tuple, want.select("target", "aug_kind", "text").collect()))
+    assert len(got) == 6

@@ -126,5 +126,18 @@ def test_models_learn_and_relabel(spark):
     ):
         assert relabelled.columns == df.columns
         assert relabelled.exceptAll(df).isEmpty()
-    best, f1 = models.train_best(df, df, [spec, TextModelSpec(max_tokens=1, num_classes=4)])
+    best, f1 = models.train_best(df, df, [spec, TextModelSpec(num_features=1, num_classes=4)])
     assert f1 == pytest.approx(1.0)
+
+
+def test_missing_labels_and_predictions(spark):
+    rows = [(0, 0), (1, 1), (None, 0), (1, None)]
+    df = spark.createDataFrame(rows, "target int, prediction int")
+    # the row without a label is left out, the one without a prediction is a miss of 1
+    assert metrics.macro_f1(df).head()[0] == pytest.approx((1 + 2 / 3) / 2)
+
+
+def test_repeated_suggestions_leave_one_row(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1)], "row_key string, target int")
+    issues = spark.createDataFrame([("a", 3), ("a", 2)], "row_key string, suggested int")
+    assert sorted(map(tuple, relabel.apply_corrections(df, issues).collect())) == [("a", 2), ("b", 1)]

@@ -86,7 +86,31 @@ def test_unquoted_sink(spark, tmp_path):
         spark.createDataFrame([("i", 'a,b\\c"d\ne', 1)], "ID string, text string, target int"), path
     )
     text = "".join(p.read_text() for p in (tmp_path / "plain").glob("part-*"))
-    assert text == 'i,a\\,b\\\\c\\"d\\\ne,1\n'
+    assert text == 'ID,text,target\ni,a\\,b\\\\c\\"d\\\ne,1\n'
+
+
+def test_unquoted_folder_reads_back(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = [(f"i{i}", f"plain {i}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "ID string, text string, target int").repartition(3)
+    write_unquoted(df, path)
+    assert sorted(map(tuple, read_corpus(spark, path).collect())) == sorted(rows)
+
+
+def test_columns_are_found_by_name_in_every_file(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID,text,target\n1,one,1\n")
+    (folder / "b.csv").write_text("text,ID,target\ntwo,2,2\n")
+    (folder / "c.csv").write_text("text,ID\nthree,3\n")
+    rows = sorted(map(tuple, read_corpus(spark, str(folder)).select("ID", "text", "target").collect()))
+    assert rows == [("1", "one", 1), ("2", "two", 2), ("3", "three", None)]
+
+
+def test_quoted_header_with_comma(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('"ID","a, b",text,target\n1,x,yes,2\n')
+    assert [tuple(r) for r in read_corpus(spark, str(path)).collect()] == [("1", "yes", 2)]
 
 
 def test_unique_keys(spark):
