@@ -216,7 +216,7 @@ def _encoder(path: str) -> ChunkCache:
         owner = np.searchsorted(starts, at, "right") - 1
         return encoded.ids, np.bincount(owner, minlength=len(chunks))
 
-    return ChunkCache(encode_many)
+    return ChunkCache(encode_many, entries=1_400_000)
 
 
 def encode(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
