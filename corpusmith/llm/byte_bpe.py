@@ -60,7 +60,7 @@ class ByteBpe:
             for i in range(1, len(token))
             if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None
         }
-        self._agree = lru_cache(maxsize=1 << 18)(self._agree_uncached)
+        self._agree = lru_cache(maxsize=1 << 15)(self._agree_uncached)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         # a piece that is a token as a whole is that token, mergeable or not
@@ -161,7 +161,7 @@ class ChunkCache:
     def __init__(
         self,
         encode_many: Callable[[list[str]], tuple[Sequence[int], Sequence[int]]],
-        entries: int = 700_000,
+        entries: int = 400_000,
     ):
         self.encode_many = encode_many
         self.entries = entries

@@ -46,6 +46,8 @@ def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 Batches = Iterator[pa.RecordBatch]
+# rows whose results a worker holds at a time
+_SLICE = 256
 
 
 def per_document(
@@ -62,8 +64,10 @@ def per_document(
 
     def run(batches: Batches) -> Batches:
         columns_of = make()
-        for batch in batches:
-            columns = columns_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+        for whole in batches:
+            for start in range(0, len(whole), _SLICE):
+                batch = whole.slice(start, _SLICE)
+                columns = columns_of(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     return ids_and_texts(docs).mapInArrow(run, f"doc_id {id_type}, {schema}")
