@@ -206,8 +206,10 @@ def label_issues(flagged: DataFrame) -> DataFrame:
 
 
 def corrected_target() -> Column:
-    """Target of a flagged frame after correction: issues take the suggestion."""
-    return F.when(F.col("is_issue"), F.col("suggested")).otherwise(F.col("target"))
+    """Target of a flagged frame after correction: issues and rows without a
+    label take the suggestion."""
+    doubtful = F.col("is_issue") | F.col("target").isNull()
+    return F.when(doubtful, F.col("suggested")).otherwise(F.col("target"))
 
 
 def apply_corrections(df: DataFrame, issues: DataFrame) -> DataFrame:

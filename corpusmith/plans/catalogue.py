@@ -14,6 +14,8 @@ from corpusmith.operators.augment import augment, naive_augment, noise_filtering
 from corpusmith.operators.models import TextModelSpec
 from corpusmith.plans import flows, inputs
 from corpusmith.profiles import GROUP_BINS, KOREAN, LATIN, ZERO_GROUP_BINS
+from corpusmith.sources.readers import GENERATED_SCHEMA, read_corpus
+from corpusmith.sources.sinks import append_corpus, write_corpus, write_unquoted
 from corpusmith.sources.staging import new_path, stage
 from corpusmith.streaming.generations import RECORD_SCHEMA, append_titles, read_generations
 
@@ -465,7 +467,7 @@ def macro_f1(spark, sf):
     )
 
 
-# --- trained models (no SQL equivalent) ------------------------------------------
+# --- trained models: SQL checks that each row gets a class ------------------------
 
 WORDS = TextModelSpec("word", 1, num_features=4096, max_iter=5, num_classes=4)
 SPECS = (
@@ -476,37 +478,53 @@ SPECS = (
 )
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    known = F.col("target").between(0, WORDS.num_classes - 1)
+    return rows.select("row_key", F.coalesce(known, F.lit(False)).alias("has_class"))
+
+
+def _cross_fitted(docs: DataFrame, fit: Callable, use: Callable) -> DataFrame:
+    """All rows, each half scored by a model of the other half."""
+    halves = sampling.split_hash(docs, 0.5)
+    sides = (halves.train, halves.valid), (halves.valid, halves.train)
+    first, second = (use(rest, fit(learn)) for learn, rest in sides)
+    return first.unionByName(second)
+
+
 @query
 def mllib_predict(spark, sf):
-    split = sampling.split_hash(inputs.labelled_documents(spark, sf))
-    model = models.train(split.train, WORDS)
-    return models.predict(split.valid.drop("target"), model).select("row_key", "target")
+    docs = inputs.labelled_documents(spark, sf)
+    model = models.train(docs, WORDS)
+    unlabelled = docs.where(F.col("target").isNull()).drop("target")
+    return _classes(models.predict(unlabelled, model))
 
 
 @query
 def mllib_evaluate(spark, sf):
-    return flows.train_and_evaluate(inputs.labelled_documents(spark, sf), WORDS)[1]
+    labelled = inputs.labelled_documents(spark, sf).where("target is not null")
+    return flows.train_and_evaluate(labelled, WORDS)[1]
 
 
 @query
 def mllib_relabel_all(spark, sf):
-    split = sampling.split_hash(inputs.labelled_documents(spark, sf), 0.5)
-    model = models.train(split.train, WORDS)
-    return models.relabel_all(split.valid, model).select("row_key", "target")
+    docs = inputs.labelled_documents(spark, sf)
+    return _classes(_cross_fitted(docs, lambda x: models.train(x, WORDS), models.relabel_all))
 
 
 @query
 def mllib_ensemble(spark, sf):
-    split = sampling.split_hash(inputs.labelled_documents(spark, sf), 0.5)
-    fitted = models.train_ensemble(split.train, SPECS)
-    return models.relabel_ensemble(split.valid, fitted).select("row_key", "target")
+    docs = inputs.labelled_documents(spark, sf)
+    return _classes(
+        _cross_fitted(docs, lambda x: models.train_ensemble(x, SPECS), models.relabel_ensemble)
+    )
 
 
 @query
 def mllib_label_issues(spark, sf):
-    split = sampling.split_hash(inputs.labelled_documents(spark, sf), 0.5)
-    model = models.train(split.train, WORDS)
-    scored = models.score(split.valid, model).select("row_key", "target", "probs")
+    docs = inputs.labelled_documents(spark, sf)
+    scored = _cross_fitted(docs, lambda x: models.train(x, WORDS), models.score).select(
+        "row_key", "target", "probs"
+    )
     flagged = relabel.flag_issues(stage(scored, "scores"), WORDS.num_classes)
     return relabel.label_issues(flagged)
 
@@ -527,6 +545,25 @@ def hard_flow_counts(spark, sf):
     return _counts(flows.hard_flow(corpus, inputs.resources(corpus), SPECS[:2], LATIN))
 
 
+def _flow_rows(result: DataFrame) -> DataFrame:
+    """Texts do not depend on a model, targets do on the clean side."""
+    noisy = F.element_at(F.split("row_key", "#"), 2) == "noisy"
+    target = F.when(noisy, F.col("target").cast("string"))
+    return result.select("row_key", "ID", "aug_kind", "text", target.alias("target"))
+
+
+@query
+def hard_flow_rows(spark, sf):
+    corpus = inputs.labelled_documents(spark, sf)
+    return _flow_rows(flows.hard_flow(corpus, inputs.resources(corpus), SPECS[:2], LATIN))
+
+
+@query
+def notebook_flow_rows(spark, sf):
+    corpus = inputs.labelled_documents(spark, sf)
+    return _flow_rows(flows.notebook_flow(corpus, inputs.resources(corpus), SPECS[:1], LATIN))
+
+
 @query
 def soft_flow_counts(spark, sf):
     corpus = inputs.labelled_documents(spark, sf)
@@ -538,3 +575,46 @@ def notebook_flow_counts(spark, sf):
     corpus = inputs.labelled_documents(spark, sf)
     result = flows.notebook_flow(corpus, inputs.resources(corpus), SPECS[:1], LATIN)
     return _counts(result)
+
+
+# --- CSV in and out ----------------------------------------------------------------
+
+
+@query
+def csv_round_trip(spark, sf):
+    path = new_path(spark, "csv")
+    write_corpus(inputs.documents(spark, sf), path, fmt="csv")
+    return read_corpus(spark, path)
+
+
+@query
+def csv_many_files(spark, sf):
+    # all documents in three folders, whose columns differ in order and number
+    docs = inputs.documents(spark, sf)
+    orders = (("ID", "text", "target"), ("target", "text", "ID"), ("text", "ID"))
+    paths = []
+    for i, columns in enumerate(orders):
+        paths.append(new_path(spark, "csv"))
+        write_corpus(docs.where(F.col("target") % 3 == i), paths[-1], columns, fmt="csv")
+    # as text: data frames on the driver differ in how they hold missing integers
+    return read_corpus(spark, paths).withColumn("target", F.col("target").cast("string"))
+
+
+@query
+def csv_append(spark, sf):
+    path = new_path(spark, "csv")
+    docs = inputs.documents(spark, sf)
+    append_corpus(docs, path)
+    append_corpus(docs.withColumn("text", F.lower("text")), path)
+    return read_corpus(spark, path, GENERATED_SCHEMA)
+
+
+@query
+def csv_unquoted(spark, sf):
+    # the lines of all files that have a header
+    path = new_path(spark, "csv")
+    write_unquoted(inputs.documents(spark, sf), path)
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    header = F.col("value") == "ID,text,target"
+    with_header = lines.where(header).select("file").distinct()
+    return lines.where(~header).join(with_header, "file", "left_semi").select("value")

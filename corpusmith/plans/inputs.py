@@ -64,14 +64,14 @@ def korean_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with labels; 4 classes from the two label columns."""
+    """All documents; 4 classes from the two label columns, null without a label."""
     labels = table(spark, folder, "labels").select(
         "doc_id", (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("target")
     )
     # spread the scan: asking a join for its partitions would run it
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     key = F.col("doc_id").cast("string")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         key.alias("row_key"), key.alias("ID"), "text", "target"
     )
 
@@ -191,8 +191,8 @@ def generations(docs: DataFrame) -> DataFrame:
 # --- scores from embeddings ---------------------------------------------------
 
 
-def embedding_folds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to learn class centroids from, and rows to score."""
+def embedding_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """``(row_key, target, v, fold)``: every row, in one of two folds."""
     key = F.col("vec_id").cast("string")
     rows = spread(
         table(spark, folder, "embeddings").select(
@@ -201,8 +201,8 @@ def embedding_folds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
             F.transform("embedding", lambda x: x.cast("double")).alias("v"),
         )
     )
-    learn = below_fraction(hash_hex("fold", F.col("row_key")), 0.5)
-    return rows.where(learn), rows.where(~learn)
+    fold = below_fraction(hash_hex("fold", F.col("row_key")), 0.5).cast("int")
+    return rows.withColumn("fold", fold)
 
 
 def centroids(learn: DataFrame) -> DataFrame:
@@ -216,17 +216,22 @@ def centroids(learn: DataFrame) -> DataFrame:
     return per_class.agg(classes["c"].alias("c"))
 
 
+def _with_centroids(rows: DataFrame) -> DataFrame:
+    """Add the centroids of the other fold, so no row is scored by itself."""
+    zero, one = (centroids(rows.where(F.col("fold") == f)).scalar() for f in (0, 1))
+    return rows.withColumn("_centroids", F.when(F.col("fold") == 0, one).otherwise(zero))
+
+
 def _six_places(x: Column) -> Column:
     return F.round(x * F.lit(1e6)) / F.lit(1e6)
 
 
 def centroid_scores(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_key, target, probs)``: softmax of 10 x dot product with each centroid."""
-    learn, rest = embedding_folds(spark, folder)
-    rest = rest.withColumn("_centroids", centroids(learn).scalar())
+    rows = _with_centroids(embedding_folds(spark, folder))
     logits = F.transform("_centroids", lambda c: dot(F.col("v"), c) * 10.0)
     probs = F.transform(softmax(logits), _six_places)
-    return rest.select("row_key", "target", probs.alias("probs"))
+    return rows.select("row_key", "target", probs.alias("probs"))
 
 
 def slice_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,8 +239,7 @@ def slice_scores(spark: SparkSession, folder: str) -> DataFrame:
 
     ``(row_key, target, raw0, raw1, raw2, raw3)``.
     """
-    learn, rest = embedding_folds(spark, folder)
-    rest = rest.withColumn("_centroids", centroids(learn).scalar())
+    rows = _with_centroids(embedding_folds(spark, folder))
 
     def cosine(a: Column, b: Column) -> Column:
         return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -252,6 +256,6 @@ def slice_scores(spark: SparkSession, folder: str) -> DataFrame:
 
         return let(part(F.col("v")), against)
 
-    return rest.select(
+    return rows.select(
         "row_key", "target", *[raw(16 * i + 1).alias(f"raw{i}") for i in range(4)]
     )

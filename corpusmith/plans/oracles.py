@@ -17,6 +17,7 @@ from corpusmith.operators.synth import (
 )
 from corpusmith.plans.inputs import HANGUL_LETTERS, LATIN_LETTERS
 from corpusmith.profiles import ALLOWED_TERMS, GROUP_BINS, ZERO_GROUP_BINS
+from corpusmith.sources.readers import NA_VALUES
 
 
 def _q(text: str) -> str:
@@ -53,7 +54,7 @@ TURNS = """turns AS (
 LABELLED = """corpus AS (
   SELECT doc_id::VARCHAR AS row_key, doc_id::VARCHAR AS ID, text,
          (quality + 2 * toxic)::INTEGER AS target
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 ORACLES: dict[str, str] = {}
 
@@ -490,17 +491,17 @@ ORACLES["shuffled_documents"] = f"WITH {DOCS} SELECT ID, text, target FROM docs"
 _FOLDS = f"""rows_ AS (
   SELECT vec_id::VARCHAR AS row_key, label AS target,
          list_transform(embedding, lambda x: x::DOUBLE) AS v,
-         {_u32("md5(concat_ws('|', 'fold', vec_id))")} / 4294967296.0::DOUBLE < 0.5 AS learn
+         {_u32("md5(concat_ws('|', 'fold', vec_id))")} / 4294967296.0::DOUBLE < 0.5 AS fold
   FROM embeddings),
 dims AS (
-  SELECT target AS class, d, avg(v[d]) AS m
-  FROM rows_, range(1, 65) AS r(d) WHERE learn GROUP BY 1, 2),
-cents AS (SELECT class, list(m ORDER BY d) AS c FROM dims GROUP BY class)"""
+  SELECT NOT fold AS fold, target AS class, d, avg(v[d]) AS m
+  FROM rows_, range(1, 65) AS r(d) GROUP BY 1, 2, 3),
+cents AS (SELECT fold, class, list(m ORDER BY d) AS c FROM dims GROUP BY fold, class)"""
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 _SCORES = f"""WITH {_FOLDS},
 logits AS (
   SELECT row_key, target, class, {_DOT.format(a='v', b='c')} * 10.0::DOUBLE AS x
-  FROM rows_ CROSS JOIN cents WHERE NOT learn),
+  FROM rows_ JOIN cents USING (fold)),
 exps AS (
   SELECT *, exp(x - max(x) OVER (PARTITION BY row_key)) AS e FROM logits),
 scores AS (
@@ -522,7 +523,7 @@ def _cosine(first: int) -> str:
 _total = " + ".join(_cosine(f) for f in (1, 17, 33, 49))
 _ENSEMBLE = f"""WITH {_FOLDS},
 sums AS (
-  SELECT row_key, class, ({_total})::BIGINT AS s FROM rows_ CROSS JOIN cents WHERE NOT learn)
+  SELECT row_key, class, ({_total})::BIGINT AS s FROM rows_ JOIN cents USING (fold))
 SELECT row_key, class AS target FROM sums
 QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY s DESC, class) = 1"""
 ORACLES["ensemble_relabel_by_model"] = _ENSEMBLE
@@ -614,3 +615,60 @@ clean AS (SELECT row_key, ID, text, target FROM sides WHERE side = 'clean'),
 {_counted('noisy', _NAIVE_KINDS)} UNION ALL
 {_counted('clean', ['original', 'synonym', 'swap', 'delete'])} UNION ALL
 SELECT 'clean', aug_kind, count(*) FROM pivoted GROUP BY aug_kind"""
+
+# --- end to end: texts --------------------------------------------------------------
+
+_BOTH_SIDES = f"""{_HARD_SIDES},
+noisy AS (SELECT row_key || '#noisy' AS row_key, ID, text, target FROM sides WHERE side = 'noisy'),
+clean AS (SELECT row_key || '#clean' AS row_key, ID, text, target FROM sides WHERE side = 'clean'),
+{_vocabulary('corpus')}, {_exploded('clean')}, {_SYNONYMS}, {_PICKED}, {_DELETE}, {_SWAP}"""
+
+
+def _flow_rows(insert: bool, keep: bool) -> str:
+    noisy = " UNION ALL ".join(
+        f"SELECT row_key || '#{kind}' AS row_key, ID, '{kind}' AS aug_kind, {text} AS text, "
+        "target::VARCHAR AS target FROM noisy"
+        for kind, text in LATIN_NAIVE.items()
+    )
+    made = [
+        "SELECT row_key || '#original' AS row_key, ID, text, target, 'original' AS aug_kind FROM clean",
+        _rebuilt("clean", "replaced", _TURN_TEXT, "synonym"),
+        _swap_rows("clean"),
+        _delete_rows("clean"),
+        "SELECT row_key, ID, text, target, aug_kind FROM pivoted",
+    ]
+    if insert:
+        made.append(_rebuilt("clean", "inserted", _TURN_TEXT, "insert"))
+    return f"""{_BOTH_SIDES}, {_pivot('clean', keep)},
+made AS ({" UNION ALL ".join(made)})
+{noisy} UNION ALL SELECT row_key, ID, aug_kind, text, NULL FROM made"""
+
+
+ORACLES["hard_flow_rows"] = _flow_rows(insert=True, keep=True)
+ORACLES["notebook_flow_rows"] = _flow_rows(insert=False, keep=False)
+
+# --- trained models: each row gets a class --------------------------------------------
+
+ORACLES["mllib_predict"] = f"""WITH {LABELLED}
+SELECT row_key, true AS has_class FROM corpus WHERE target IS NULL"""
+for _name in ("mllib_relabel_all", "mllib_ensemble"):
+    ORACLES[_name] = f"WITH {LABELLED} SELECT row_key, true AS has_class FROM corpus"
+
+# --- CSV in and out --------------------------------------------------------------------
+
+
+def _read(text: str) -> str:
+    missing = ", ".join(_q(x) for x in NA_VALUES)
+    return f"CASE WHEN {text} NOT IN ({missing}) THEN {text} END AS text"
+
+
+ORACLES["csv_round_trip"] = f"WITH {DOCS} SELECT ID, {_read('text')}, target FROM docs"
+ORACLES["csv_many_files"] = f"""WITH {DOCS}
+SELECT ID, {_read('text')}, CASE WHEN target % 3 < 2 THEN target::VARCHAR END AS target FROM docs"""
+ORACLES["csv_append"] = f"""WITH {DOCS}
+SELECT {_read('text')}, target FROM docs UNION ALL SELECT {_read('lower(text)')}, target FROM docs"""
+ORACLES["csv_unquoted"] = rf"""WITH {DOCS}
+SELECT unnest(regexp_split_to_array(ID || ',' ||
+    regexp_replace(coalesce(text, ''), '([\\,"\r\n])', '\\\1', 'g') || ',' || target,
+  '\r\n|\r|\n')) AS value
+FROM docs"""

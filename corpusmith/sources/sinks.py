@@ -19,8 +19,11 @@ def write_corpus(
     """Write the chosen columns; helper columns such as ``row_key`` stay behind."""
     out = df.select(*columns)
     if fmt == "csv":
-        # quotes are doubled and empty strings are not nulls, as readers expect
-        out.write.mode(mode).options(header=True, escape='"', emptyValue='""').csv(path)
+        # quotes are doubled, empty strings are not nulls and spaces at the ends
+        # stay, as readers expect
+        options = {"header": True, "escape": '"', "emptyValue": '""'}
+        options |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        out.write.mode(mode).options(**options).csv(path)
     else:
         out.write.mode(mode).format(fmt).save(path)
 
