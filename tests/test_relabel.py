@@ -141,3 +141,10 @@ def test_repeated_suggestions_leave_one_row(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1)], "row_key string, target int")
     issues = spark.createDataFrame([("a", 3), ("a", 2)], "row_key string, suggested int")
     assert sorted(map(tuple, relabel.apply_corrections(df, issues).collect())) == [("a", 2), ("b", 1)]
+
+
+def test_rows_without_a_label_take_the_suggestion(spark):
+    rows = [(None, 2, None), (None, 0, False), (1, 2, False), (1, 2, True)]
+    flagged = spark.createDataFrame(rows, "target int, suggested int, is_issue boolean")
+    corrected = flagged.select(relabel.corrected_target().alias("target")).collect()
+    assert [r["target"] for r in corrected] == [2, 0, 1, 2]

@@ -126,3 +126,11 @@ def test_staging_uses_the_checkpoint_folder(spark):
     df = stage(spark.range(5).withColumnRenamed("id", "x"), "numbers")
     assert df.columns == ["x"] and df.count() == 5
     assert all(folder in f for f in df.inputFiles())
+
+
+def test_csv_keeps_spaces_at_the_ends(spark, tmp_path):
+    texts = ["  a", "b\t ", " c, \n d "]
+    rows = [(str(i), text, i) for i, text in enumerate(texts)]
+    path = str(tmp_path / "spaces")
+    write_corpus(spark.createDataFrame(rows, "ID string, text string, target int"), path, fmt="csv")
+    assert sorted(tuple(r) for r in read_corpus(spark, path).collect()) == rows
