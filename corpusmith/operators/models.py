@@ -1,4 +1,4 @@
-"""Text classifiers on MLlib: training, scoring and ensembles."""
+"""Text classifiers, on MLlib and naive Bayes: training, scoring and ensembles."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.columns import argmax
+from corpusmith.operators.bayes import BayesModel, BayesSpec, train_bayes
 from corpusmith.operators.metrics import macro_f1
 from corpusmith.operators.relabel import ensemble_label, overwrite_target
 from corpusmith.profiles import WS
@@ -36,7 +37,11 @@ class TextModelSpec:
     idf: bool = False
 
 
-# Four models that differ in what they see of a text.
+Spec = TextModelSpec | BayesSpec
+Model = PipelineModel | BayesModel
+
+# Four models that differ in what they see of a text. Naive Bayes is not among
+# them: its log scores grow with the text and would outweigh the others' in a mean.
 ENSEMBLE = (
     TextModelSpec("word", 1),
     TextModelSpec("word", 2),
@@ -78,8 +83,10 @@ def build_pipeline(spec: TextModelSpec) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def train(df: DataFrame, spec: TextModelSpec = TextModelSpec()) -> PipelineModel:
+def train(df: DataFrame, spec: Spec = TextModelSpec()) -> Model:
     """Fit a classifier on ``text`` and ``target`` (0..num_classes-1)."""
+    if isinstance(spec, BayesSpec):
+        return train_bayes(df, spec)
     # all models know all classes, even those absent from this training set
     classes = {"ml_attr": {"type": "nominal", "num_vals": spec.num_classes}}
     prepared = df.where(F.col("target").isNotNull()).select(
@@ -90,15 +97,17 @@ def train(df: DataFrame, spec: TextModelSpec = TextModelSpec()) -> PipelineModel
 
 
 def train_ensemble(
-    df: DataFrame, specs: Sequence[TextModelSpec] = ENSEMBLE
-) -> list[PipelineModel]:
+    df: DataFrame, specs: Sequence[Spec] = ENSEMBLE
+) -> list[Model]:
     return [train(df, spec) for spec in specs]
 
 
 def score(
-    df: DataFrame, model: PipelineModel, probs: str = "probs", raw: str = "raw"
+    df: DataFrame, model: Model, probs: str = "probs", raw: str = "raw"
 ) -> DataFrame:
     """Add class probabilities and raw scores to the rows they belong to."""
+    if isinstance(model, BayesModel):
+        return model.score(df, probs, raw)
     scored = model.transform(df.withColumn("_text", F.coalesce("text", F.lit(""))))
     return scored.select(
         *df.columns,
@@ -107,18 +116,18 @@ def score(
     )
 
 
-def predict(df: DataFrame, model: PipelineModel, output: str = "target") -> DataFrame:
+def predict(df: DataFrame, model: Model, output: str = "target") -> DataFrame:
     """Write the most probable class into ``output``."""
     keep = [c for c in df.columns if c != output]
     return score(df, model).select(*keep, argmax(F.col("probs")).alias(output))
 
 
-def relabel_all(df: DataFrame, model: PipelineModel) -> DataFrame:
+def relabel_all(df: DataFrame, model: Model) -> DataFrame:
     """Overwrite every target with one model's prediction."""
     return predict(df, model).select(*df.columns)
 
 
-def relabel_ensemble(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+def relabel_ensemble(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Overwrite every target with the arg-max of the mean raw scores.
 
     The models score the same rows one after another, so their scores meet on
@@ -131,16 +140,16 @@ def relabel_ensemble(df: DataFrame, models: Sequence[PipelineModel]) -> DataFram
     return overwrite_target(scored, ensemble_label(raws)).select(*df.columns)
 
 
-def evaluate(df: DataFrame, model: PipelineModel) -> DataFrame:
+def evaluate(df: DataFrame, model: Model) -> DataFrame:
     """Macro F1 of a model on a labelled frame, one row."""
     return macro_f1(predict(df, model, output="prediction"))
 
 
 def train_best(
-    train_df: DataFrame, valid_df: DataFrame, specs: Iterable[TextModelSpec]
-) -> tuple[PipelineModel, float]:
+    train_df: DataFrame, valid_df: DataFrame, specs: Iterable[Spec]
+) -> tuple[Model, float]:
     """Train each candidate and keep the one with the best validation macro F1."""
-    best: tuple[PipelineModel, float] | None = None
+    best: tuple[Model, float] | None = None
     for spec in specs:
         model = train(train_df, spec)
         f1 = evaluate(valid_df, model).head()[0] or 0.0

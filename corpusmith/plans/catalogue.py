@@ -11,6 +11,7 @@ from corpusmith.functions import text as tx
 from corpusmith.operators import dictionary, eda, isolate, metrics, models, relabel
 from corpusmith.operators import sampling, synth
 from corpusmith.operators.augment import augment, naive_augment, noise_filtering
+from corpusmith.operators.bayes import BayesSpec
 from corpusmith.operators.models import TextModelSpec
 from corpusmith.plans import flows, inputs
 from corpusmith.profiles import GROUP_BINS, KOREAN, LATIN, ZERO_GROUP_BINS
@@ -529,6 +530,63 @@ def mllib_label_issues(spark, sf):
     return relabel.label_issues(flagged)
 
 
+# --- naive Bayes: the same steps with a model that SQL can train ------------------
+
+BAYES = (
+    BayesSpec(1, num_features=4096, num_classes=4),
+    BayesSpec(2, num_features=4096, num_classes=4),
+)
+
+
+@query
+def bayes_predict(spark, sf):
+    docs = inputs.labelled_documents(spark, sf)
+    model = models.train(docs, BAYES[0])
+    unlabelled = docs.where(F.col("target").isNull())
+    return models.predict(unlabelled, model).select("row_key", "target")
+
+
+@query
+def bayes_evaluate(spark, sf):
+    labelled = inputs.labelled_documents(spark, sf).where("target is not null")
+    f1 = flows.train_and_evaluate(labelled, BAYES[0])[1]
+    return f1.select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query
+def bayes_relabel_all(spark, sf):
+    docs = inputs.labelled_documents(spark, sf)
+    relabelled = _cross_fitted(docs, lambda x: models.train(x, BAYES[0]), models.relabel_all)
+    return relabelled.select("row_key", "target")
+
+
+@query
+def bayes_ensemble(spark, sf):
+    docs = inputs.labelled_documents(spark, sf)
+    relabelled = _cross_fitted(
+        docs, lambda x: models.train_ensemble(x, BAYES), models.relabel_ensemble
+    )
+    return relabelled.select("row_key", "target")
+
+
+@query
+def bayes_label_issues(spark, sf):
+    docs = inputs.labelled_documents(spark, sf)
+    scored = _cross_fitted(docs, lambda x: models.train(x, BAYES[0]), models.score)
+    kept = stage(scored.select("row_key", "target", "probs"), "scores")
+    return relabel.label_issues(relabel.flag_issues(kept, BAYES[0].num_classes))
+
+
+@query
+def bayes_best_spec(spark, sf):
+    split = sampling.split_hash(inputs.labelled_documents(spark, sf).where("target is not null"))
+    model, f1 = models.train_best(split.train, split.valid, BAYES)
+    # what the chosen model makes of all the rows it was chosen by
+    return models.predict(split.valid, model).select(
+        "row_key", "target", F.lit(model.spec.ngram).alias("ngram"), F.round(F.lit(f1), 9).alias("macro_f1")
+    )
+
+
 # --- end to end --------------------------------------------------------------------
 
 

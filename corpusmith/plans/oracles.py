@@ -529,11 +529,11 @@ QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY s DESC, class) = 1"""
 ORACLES["ensemble_relabel_by_model"] = _ENSEMBLE
 ORACLES["ensemble_relabel"] = _ENSEMBLE
 
-_PREDICTED = f"""{_SCORES},
-predicted AS (
+_PREDICTIONS = """predicted AS (
   SELECT row_key, target, class AS prediction FROM scores
   QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY p DESC, class) = 1)"""
-_LEARN = f"""{_PREDICTED},
+_PREDICTED = f"{_SCORES}, {_PREDICTIONS}"
+_ISSUES = f"""{_PREDICTIONS},
 thresholds AS (
   SELECT class, sum(p)::DOUBLE / count(*) AS t FROM scores WHERE class = target GROUP BY class),
 guesses AS (
@@ -558,15 +558,16 @@ issues AS (
   SELECT p.row_key, p.target, p.prediction AS suggested, s.p AS confidence
   FROM predicted p JOIN scores s ON s.row_key = p.row_key AND s.class = p.target
   WHERE p.prediction <> p.target AND p.row_key IN (SELECT row_key FROM flagged))"""
+_LEARN = f"{_SCORES}, {_ISSUES}"
 ORACLES["label_thresholds"] = f"""{_LEARN}
 SELECT class AS target, t / 1e6::DOUBLE AS threshold FROM thresholds"""
 ORACLES["confident_joint"] = f"""{_LEARN}
 SELECT target, guess, n, calibrated::BIGINT AS calibrated FROM joint_"""
-ORACLES["label_issues"] = f"""{_LEARN}
-SELECT row_key, target, suggested, confidence / 1e6::DOUBLE AS self_confidence,
+_RANKED_ISSUES = f"""SELECT row_key, target, suggested, confidence / 1e6::DOUBLE AS self_confidence,
   row_number() OVER (ORDER BY confidence,
     md5(concat_ws('|', '{RANK_SEED}', row_key)), row_key) AS rank
 FROM issues"""
+ORACLES["label_issues"] = f"{_LEARN} {_RANKED_ISSUES}"
 _CORRECTED = f"""{_LEARN}
 SELECT p.row_key, coalesce(i.suggested, p.target) AS target
 FROM predicted p LEFT JOIN issues i USING (row_key)"""
@@ -654,6 +655,101 @@ SELECT row_key, true AS has_class FROM corpus WHERE target IS NULL"""
 for _name in ("mllib_relabel_all", "mllib_ensemble"):
     ORACLES[_name] = f"WITH {LABELLED} SELECT row_key, true AS has_class FROM corpus"
 
+# --- naive Bayes --------------------------------------------------------------------
+
+
+def _bayes(ngram: int, uses: str) -> str:
+    """Tables for a model with ``ngram``, trained on rows of ``uses (part, row_key,
+    text, target, learn)`` with ``learn`` and applied to the part's other rows."""
+    gram = " || ' ' || ".join(f"t[i + {k}]" for k in range(1, ngram + 1))
+    log = "round(ln((coalesce(n, 0) + 1)::DOUBLE / {size}::DOUBLE) * 1e6::DOUBLE)::BIGINT"
+    return f"""grams{ngram} AS (
+  SELECT *, {_u32("md5(g)")} % 4096 AS f FROM (
+    SELECT part, row_key, target, learn, unnest(
+      list_transform(range(len(t) - {ngram - 1}), lambda i: {gram})) AS g
+    FROM (SELECT *, {_tokens("coalesce(text, '')")} AS t FROM {uses}))),
+parts{ngram} AS (SELECT DISTINCT part, class FROM {uses}, range(4) AS r(class)),
+sizes{ngram} AS (
+  SELECT p.part, class, count(target) AS n_features FROM parts{ngram} p
+  LEFT JOIN grams{ngram} g ON g.part = p.part AND learn AND target = class GROUP BY ALL),
+priors{ngram} AS (
+  SELECT part, class, {log.format(size="(sum(n) OVER (PARTITION BY part) + 4)")} AS prior FROM (
+    SELECT p.part, class, count(target) AS n FROM parts{ngram} p
+    LEFT JOIN {uses} u ON u.part = p.part AND learn AND target = class GROUP BY ALL)),
+counts{ngram} AS (
+  SELECT part, target AS class, f, count(*) AS n FROM grams{ngram}
+  WHERE learn AND target IS NOT NULL GROUP BY ALL),
+logs{ngram} AS (
+  SELECT s.part, s.class, f, {log.format(size="(n_features + 4096)")} AS w
+  FROM sizes{ngram} s CROSS JOIN (SELECT unnest(range(4096)) AS f)
+  LEFT JOIN counts{ngram} USING (part, class, f)),
+found{ngram} AS (
+  SELECT part, row_key, class, sum(w) AS w FROM grams{ngram} JOIN logs{ngram} USING (part, f)
+  WHERE NOT learn GROUP BY ALL),
+raw{ngram} AS (
+  SELECT part, u.row_key, u.target, class, (prior + coalesce(w, 0)) / 1e6::DOUBLE AS x
+  FROM {uses} u JOIN priors{ngram} USING (part) LEFT JOIN found{ngram} USING (part, row_key, class)
+  WHERE NOT learn)"""
+
+
+def _softmax(raw: str) -> str:
+    return f"""exps AS (
+  SELECT *, exp(x - max(x) OVER (PARTITION BY row_key)) AS e FROM {raw}),
+shares AS (SELECT *, e / sum(e) OVER (PARTITION BY row_key) AS share FROM exps),
+scores AS (
+  SELECT row_key, target, class, round(share * 1e6::DOUBLE)::BIGINT AS p FROM shares),
+chosen AS (
+  SELECT row_key, target, class AS prediction FROM shares
+  QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY share DESC, class) = 1)"""
+
+
+def _halves(fraction: str) -> str:
+    below = f"{_u32(_hash('split'))} / 4294967296.0::DOUBLE < {fraction}::DOUBLE"
+    return f"""sides AS (SELECT *, {below} AS valid FROM corpus),
+uses AS (
+  SELECT part, row_key, text, target, valid = (part = 1) AS learn FROM sides, range(2) AS r(part))"""
+
+
+_CROSS = f"WITH {LABELLED}, {_halves('0.5')}"
+_VALID = f"""WITH {LABELLED},
+uses AS (
+  SELECT 0 AS part, row_key, text, target, NOT ({_below.format('row_key')}) AS learn
+  FROM corpus WHERE target IS NOT NULL)"""
+
+
+def _f1_of(predicted: str) -> str:
+    return f"""(SELECT avg(f1) FROM (
+  SELECT 2.0::DOUBLE * count(*) FILTER (side = 0 AND target = prediction) / count(*) AS f1
+  FROM (SELECT target AS class, 0 AS side, target, prediction FROM {predicted}
+        UNION ALL SELECT prediction, 1, target, prediction FROM {predicted})
+  GROUP BY class))"""
+
+
+ORACLES["bayes_predict"] = f"""WITH {LABELLED},
+uses AS (SELECT 0 AS part, row_key, text, target, target IS NOT NULL AS learn FROM corpus),
+{_bayes(1, 'uses')}, {_softmax('raw1')}
+SELECT row_key, prediction AS target FROM chosen"""
+ORACLES["bayes_evaluate"] = f"""{_VALID}, {_bayes(1, 'uses')}, {_softmax('raw1')}
+SELECT round({_f1_of('chosen')}, 9) AS macro_f1"""
+ORACLES["bayes_relabel_all"] = f"""{_CROSS}, {_bayes(1, 'uses')}, {_softmax('raw1')}
+SELECT row_key, prediction AS target FROM chosen"""
+ORACLES["bayes_ensemble"] = f"""{_CROSS}, {_bayes(1, 'uses')}, {_bayes(2, 'uses')}
+SELECT a.row_key, class AS target FROM raw1 a JOIN raw2 b USING (part, row_key, class)
+QUALIFY row_number() OVER (PARTITION BY a.row_key ORDER BY (a.x + b.x) / 2 DESC, class) = 1"""
+ORACLES["bayes_label_issues"] = f"""{_CROSS}, {_bayes(1, 'uses')}, {_softmax('raw1')},
+{_ISSUES}
+{_RANKED_ISSUES}"""
+ORACLES["bayes_best_spec"] = f"""{_VALID}, {_bayes(1, 'uses')}, {_bayes(2, 'uses')},
+picked AS (
+  SELECT ngram, row_key, target, class AS prediction
+  FROM (SELECT 1 AS ngram, * FROM raw1 UNION ALL SELECT 2, * FROM raw2)
+  QUALIFY row_number() OVER (PARTITION BY ngram, row_key ORDER BY x DESC, class) = 1),
+one AS (SELECT * FROM picked WHERE ngram = 1), two AS (SELECT * FROM picked WHERE ngram = 2),
+f1s AS (SELECT 1 AS ngram, {_f1_of('one')} AS f1 UNION ALL SELECT 2, {_f1_of('two')}),
+best AS (SELECT * FROM f1s ORDER BY f1 DESC, ngram LIMIT 1)
+SELECT row_key, prediction AS target, ngram, round(f1, 9) AS macro_f1
+FROM picked JOIN best USING (ngram)"""
+
 # --- CSV in and out --------------------------------------------------------------------
 
 
