@@ -223,6 +223,30 @@ def pivot_rewrite_drop(spark, sf):
     return dictionary.pivot_rewrite(turns, pivots, on_error="drop").select(*VARIANT)
 
 
+# the same, joined by shuffle as if the dictionaries were too large to broadcast
+
+
+@query
+def eda_all_joined(spark, sf):
+    turns, synonyms = _with_synonyms(spark, sf)
+    lookup = eda.SynonymLookup(synonyms, broadcast_bytes=0)
+    return eda.eda_augment(turns, lookup, eda.ALL_OPS).select(*VARIANT)
+
+
+@query
+def correct_tokens_joined(spark, sf):
+    turns, words = _with_words(spark, sf)
+    lookup = dictionary.correction_lookup(inputs.corrections(words), broadcast_bytes=0)
+    return dictionary.correct_tokens(turns, lookup).select(*VARIANT)
+
+
+@query
+def pivot_rewrite_joined(spark, sf):
+    turns, words = _with_words(spark, sf)
+    pivots = dictionary.PivotLookup(*inputs.pivots(words), broadcast_bytes=0)
+    return dictionary.pivot_rewrite(turns, pivots).select(*VARIANT)
+
+
 @query
 def score_batches(spark, sf):
     def factory():

@@ -584,6 +584,10 @@ f1s AS (
 ORACLES["class_f1"] = f"{_F1} SELECT class, round(f1, 9) AS f1 FROM f1s"
 ORACLES["macro_f1"] = f"{_F1} SELECT round(avg(f1), 9) AS macro_f1 FROM f1s"
 
+for _name in ("eda_all", "correct_tokens"):
+    ORACLES[f"{_name}_joined"] = ORACLES[_name]
+ORACLES["pivot_rewrite_joined"] = ORACLES["pivot_rewrite_keep"]
+
 # --- end to end: row counts -----------------------------------------------------------
 
 _corpus_as_docs = f"{LABELLED}, docs AS (SELECT * FROM corpus)"
