@@ -171,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         )
 
     runs = rows.groupBy("shard").applyInArrow(run, "n long, used binary, weights binary")
-    # as many rows as shards, each of 2 ** bits weights at most
-    models = runs.orderBy("n", F.md5("weights")).collect()
+    # As many rows as shards, each of 2 ** bits weights at most. Put in order here,
+    # as a global sort in Spark would train everything twice, once to sample keys.
+    models = sorted(runs.collect(), key=lambda m: (m.n, m.used, m.weights))
     total = np.zeros((1 << settings.bits) + 1)
     for m in models:
         total[np.frombuffer(m.used, "<i8")] += m.n * np.frombuffer(m.weights, np.float32)
