@@ -25,7 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest id stays."""
+    """Of each group of near duplicates the one with the smallest id stays. Near is
+    what it is in op9, whose contract this stage keeps; the README has its recall."""
     return simhash.drop_near_copies(docs)
 
 
