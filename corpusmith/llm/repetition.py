@@ -10,7 +10,7 @@ earlier line is the same.
 
 A text fails at once with fewer than ``min_words`` words or when more than half
 of its words are in repeated 3-word windows. Else it fails when a coverage or
-the share of symbols, capitals or junk lines passes its limit.
+the share of symbols or duplicate lines passes its limit.
 
 Null and empty texts have no words and fail. Each text is looked at whole and by
 itself; rows are not shuffled.
