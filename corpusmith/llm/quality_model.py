@@ -148,8 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         .limit(settings.sample)
     )
     texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    # at most ``sample`` rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(
+    # ``chosen`` has at most ``sample`` rows of two numbers; of rows with one id, one text
+    # is learned, so no group has more rows than ids
+    text = F.struct(F.xxhash64("text").alias("h"), "text")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min(text)["text"].alias("text"), F.max("label").alias("label")
+    )
+    rows = one.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(settings.shards)).alias("shard"),
         place.alias("place"),
         "text",
