@@ -24,7 +24,7 @@ equal or null ids are all stored, side by side, ordered by their ids' bytes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -203,10 +203,13 @@ class Shard:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkCache:
+def _encoder(path: str) -> Callable[[str], bytes]:
     """One per Python worker, kept from task to task."""
-    tokenizer = Tokenizer.from_file(local_file(path))
+    file = local_file(path)
+    tokenizer, whole = Tokenizer.from_file(file), Tokenizer.from_file(file)
+    # chunks are those of texts that hold no added token
     tokenizer.encode_special_tokens = True
+    added = [token.content for token in whole.get_added_tokens_decoder().values()]
 
     def encode_many(chunks: list[str]) -> tuple[list[int], np.ndarray]:
         # together they are a text with the same cuts; offsets tell them apart
@@ -216,7 +219,15 @@ def _encoder(path: str) -> ChunkCache:
         owner = np.searchsorted(starts, at, "right") - 1
         return encoded.ids, np.bincount(owner, minlength=len(chunks))
 
-    return ChunkCache(encode_many, entries=1_400_000)
+    cache = ChunkCache(encode_many, entries=1_400_000)
+
+    def encode_text(text: str) -> bytes:
+        # an added token ends the text before it, so white space is cut otherwise there
+        if any(token in text for token in added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return cache.encode(text)
+
+    return encode_text
 
 
 def encode(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
@@ -226,10 +237,10 @@ def encode(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """
 
     def make():
-        cache, end = _encoder(path), np.array([end_id], f"<u{width}").tobytes()
+        encode_text, end = _encoder(path), np.array([end_id], f"<u{width}").tobytes()
 
         def columns(texts: pa.Array) -> list[pa.Array]:
-            packed = (np.frombuffer(cache.encode(x.as_py()), "<u4") for x in texts)
+            packed = (np.frombuffer(encode_text(x.as_py()), "<u4") for x in texts)
             return [pa.array([p.astype(f"<u{width}").tobytes() + end for p in packed], pa.binary())]
 
         return columns
