@@ -310,22 +310,45 @@ def classify(spans: DataFrame) -> DataFrame:
     return spans.join(scores, ["row_no", "kind", "base", "start"])
 
 
+def settle(chosen: DataFrame) -> DataFrame:
+    """``chosen (row_no, kind, start, stop, strict)`` without the looser spans that
+    overlap a base span, or else an earlier looser span that stays."""
+    row = W.partitionBy("row_no").orderBy("start", F.col("strict").desc(), "kind", "stop")
+    before = row.rowsBetween(W.unboundedPreceding, -1)
+    after = row.rowsBetween(1, W.unboundedFollowing)
+    taken = F.max(F.when(F.col("strict"), F.col("stop"))).over(before) > F.col("start")
+    ahead = F.min(F.when(F.col("strict"), F.col("start"))).over(after) < F.col("stop")
+    fits = F.col("strict") | ~(F.coalesce(taken, F.lit(False)) | F.coalesce(ahead, F.lit(False)))
+    left = chosen.select("row_no", "kind", "start", "stop", "strict", fits.alias("fits")).where("fits")
+    # chains of overlapping spans are short, and settled each by itself
+    side = W.partitionBy("row_no", "strict").orderBy("start", "kind", "stop")
+    reached = F.max("stop").over(side.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(reached <= F.col("start"), F.lit(True)).cast("int")
+    numbered = left.withColumn("begins", begins).withColumn(
+        "chain_no", F.sum("begins").over(side.rowsBetween(W.unboundedPreceding, 0))
+    )
+    span = F.struct("start", "kind", "stop")
+    chains = numbered.groupBy("row_no", "strict", "chain_no").agg(F.sort_array(F.collect_list(span)).alias("chain"))
+    first = F.struct(F.slice("chain", 1, 1).alias("kept"), F.col("chain")[0]["stop"].alias("end"))
+    kept = F.aggregate(
+        F.slice("chain", 2, F.size("chain")),
+        first,
+        lambda held, x: F.when(
+            x["start"] >= held["end"],
+            F.struct(F.concat(held["kept"], F.array(x)).alias("kept"), x["stop"].alias("end")),
+        ).otherwise(held),
+    )["kept"]
+    spans = F.when(F.col("strict"), F.col("chain")).otherwise(kept)
+    return chains.select("row_no", "strict", F.inline(spans)).select("row_no", "kind", "start", "stop", "strict")
+
+
 def find_spans(docs: DataFrame, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
     """``(row_no, doc_id)`` of all rows, and the final spans ``(row_no, kind, start,
     stop, strict)`` in code points, the end exclusive."""
     rows, spans = candidates(docs)
     # matches of a base pattern that fail its check are evidence, but never spans
     chosen = classify(spans).where(F.col("strict") | (~F.col("base") & (F.col("p") >= sure)))
-    # a looser span gives way to base spans and to earlier ones
-    row = W.partitionBy("row_no").orderBy("start", F.col("strict").desc(), "kind", "stop")
-    before = row.rowsBetween(W.unboundedPreceding, -1)
-    after = row.rowsBetween(1, W.unboundedFollowing)
-    strict_start = F.when(F.col("strict"), F.col("start"))
-    taken = F.max("stop").over(before) > F.col("start")
-    ahead = F.min(strict_start).over(after) < F.col("stop")
-    fits = F.col("strict") | ~(F.coalesce(taken, F.lit(False)) | F.coalesce(ahead, F.lit(False)))
-    marked = chosen.select("row_no", "kind", "start", "stop", "strict", fits.alias("fits"))
-    return rows, marked.where("fits").drop("fits")
+    return rows, settle(chosen)
 
 
 def report(docs: DataFrame, sure: float = SURE) -> DataFrame:
