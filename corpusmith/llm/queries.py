@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.llm import (
     byte_bpe,
+    decontaminate,
     exact_dedup,
     licences,
     mixing,
+    periodic_runs,
+    phrases,
     pii,
     quality_model,
     repetition,
@@ -118,6 +122,56 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_report(table(spark, folder, "documents"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def periodic_tail(mark: int, n: int) -> np.ndarray | None:
+    """In a tenth of the texts the words from place ``a`` on repeat the ``p`` words there."""
+    if mark % 10:
+        return None
+    g = mark // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    mark = F.crc32(docs["doc_id"].cast("string"))
+    found = periodic_runs.find_runs(docs, arrange=periodic_tail, mark=mark)
+    # the longest, then the first, then that of the smallest period
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    best = F.array_max(ranked)
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["col2"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["col3"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["col3"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "longest",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -131,6 +185,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licences,
         op9_simhash,
         op10_quality_rules,
+        op11_phrases,
+        op12_periodic_runs,
+        op13_decontaminate,
     )
 }
 
@@ -245,8 +302,41 @@ SELECT doc_id, digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, coa
 FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (doc_id)
 """
 
+OP11_SQL = rf"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+n AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM (
+    SELECT lang, k, unnest([words[i:i + k - 1] for i in range(1, len(words) - k + 2)]) AS phrase
+    FROM w, range(1, {phrases.MAX_WORDS + 1}) AS ks(k))
+  GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, cut, l.a AS l, r.a AS r, n, 1000 * c.a * n // (l.a * r.a) AS score
+  FROM f c, range(1, {phrases.MAX_WORDS}) AS cs(cut), f l, f r, n
+  WHERE c.k > cut AND l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang
+    AND l.phrase = c.phrase[1:cut] AND r.phrase = c.phrase[cut + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT lang, phrase[i:i + m - 1] AS phrase, a
+  FROM f, range(2, {phrases.MAX_WORDS}) AS ms(m), range(1, {phrases.MAX_WORDS}) AS js(i)
+  WHERE m < k AND i <= k - m + 1),
+ranked AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank
+  FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND i.a = b.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+  n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {phrases.TOP}
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_licences": OP8_SQL,
+    "op11_phrases": OP11_SQL,
 }
