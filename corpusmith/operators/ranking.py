@@ -117,7 +117,7 @@ def kth_rows(
         )
         # One row per group. Staged, or each level would run those before it again;
         # Spark then knows its size and broadcasts it if it is small.
-        cut = stage(_cut(histogram, groups, level, k), "cut")
+        cut = stage(cut_off(histogram, groups, [level], k, "_n"), "cut")
         rows = rows.drop(k).join(cut, [*groups, level])
     inside = W.partitionBy(*groups).orderBy(hash_column, tie)
     return (
@@ -127,16 +127,43 @@ def kth_rows(
     )
 
 
-def _cut(
-    histogram: DataFrame, groups: Sequence[str], level: str, k: str
+def kth_rows_at_once(
+    df: DataFrame,
+    groups: Sequence[str],
+    values: Sequence[str],
+    hash_column: str,
+    tie: str,
+    k: str,
+) -> DataFrame:
+    """As ``kth_rows``, with one histogram over ``values`` and hash buckets together:
+    for tables that were narrowed down before, where a group has few values."""
+    groups, values = list(groups), list(values)
+    bucket = bucket_of(F.col(hash_column)).alias("_bucket")
+    rows = df.select(*groups, *values, hash_column, tie, bucket, k)
+    levels = [*values, "_bucket"]
+    histogram = rows.groupBy(*groups, *levels).agg(F.count(F.lit(1)).alias("_n"), F.first(k).alias(k))
+    cut = cut_off(histogram, groups, levels, k, "_n")
+    inside = W.partitionBy(*groups).orderBy(hash_column, tie)
+    return (
+        rows.drop(k)
+        .join(cut, [*groups, *levels])
+        .withColumn("_i", F.row_number().over(inside))
+        .where(F.col("_i") == F.col(k))
+        .select(*groups, *values, hash_column, tie)
+    )
+
+
+def cut_off(
+    histogram: DataFrame, groups: Sequence[str], levels: Sequence[str], k: str, n: str
 ) -> DataFrame:
-    """The one ``level`` per group that holds its k-th row, and k within it."""
-    upto = W.partitionBy(*groups).orderBy(level).rowsBetween(W.unboundedPreceding, 0)
+    """The entry (``levels``) of each group's histogram that holds its k-th row, or its
+    last row, and ``k`` within that entry. ``n`` counts the rows of an entry."""
+    upto = W.partitionBy(*groups).orderBy(*levels).rowsBetween(W.unboundedPreceding, 0)
     total = W.partitionBy(*groups)
     wanted = F.least(F.col(k), F.col("_total"))
     return (
-        histogram.withColumn("_cum", F.sum("_n").over(upto))
-        .withColumn("_total", F.sum("_n").over(total))
-        .where((F.col("_cum") >= wanted) & (F.col("_cum") - F.col("_n") < wanted))
-        .select(*groups, level, (wanted - F.col("_cum") + F.col("_n")).alias(k))
+        histogram.withColumn("_cum", F.sum(n).over(upto))
+        .withColumn("_total", F.sum(n).over(total))
+        .where((F.col("_cum") >= wanted) & (F.col("_cum") - F.col(n) < wanted))
+        .select(*groups, *levels, (wanted - F.col("_cum") + F.col(n)).alias(k))
     )

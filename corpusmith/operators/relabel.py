@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.columns import argmax, hash_hex, let, mean_vectors, micro
-from corpusmith.operators.ranking import kth_rows, rank_rows
+from corpusmith.operators.ranking import cut_off, kth_rows_at_once, rank_rows
 from corpusmith.sources.staging import stage
 
 RANK_SEED = 42
+# millionths of a score in a step of the histogram of a cell
+STEP = 1000
 
 
 # --- ensembles ---------------------------------------------------------------
@@ -86,11 +88,33 @@ def _confident_class(p: Column, t: Column) -> Column:
     return let(confident, lambda c: F.when(F.array_max(c) >= 0, argmax(c)))
 
 
-def _joint(rows: DataFrame, num_classes: int) -> DataFrame:
+def _guesses(rows: DataFrame, num_classes: int) -> DataFrame:
     bounds = rows.withColumn("_t", _thresholds(rows, num_classes).scalar())
-    guess = _confident_class(F.col("p"), F.col("_t")).alias("guess")
-    guessed = bounds.select("target", guess)
-    return guessed.groupBy("target", "guess").agg(F.count(F.lit(1)).alias("n"))
+    return bounds.withColumn("guess", _confident_class(F.col("p"), F.col("_t"))).drop("_t")
+
+
+def _joint(rows: DataFrame, num_classes: int) -> DataFrame:
+    return _guesses(rows, num_classes).groupBy("target", "guess").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cell_counts(rows: DataFrame, num_classes: int) -> DataFrame:
+    """All that cut-offs need, in one aggregation: ``(target, step, j, n)``.
+
+    With a null step it is the joint of label and confident class ``j``, else the
+    histogram of the shortfalls towards class ``j`` in steps of ``STEP``. Every task
+    adds up its own rows first; there are at most num_classes ** 2 * 2,002 counts.
+    """
+    p, i = F.col("p"), F.col("target")
+    step = F.lit(None).cast("int").alias("step")
+    joint = F.array(F.struct(F.col("guess").cast("int").alias("j"), step))
+    classes = F.sequence(F.lit(0), F.lit(num_classes - 1))
+    others = F.transform(
+        F.filter(classes, lambda j: j != i),
+        lambda j: F.struct(j.cast("int").alias("j"), _step(_shortfall(p, i, j)).alias("step")),
+    )
+    known = F.coalesce(F.filter(others, lambda x: x["step"].isNotNull()), F.array().cast("array<struct<j:int,step:int>>"))
+    counted = _guesses(rows, num_classes).select("target", F.inline(F.concat(joint, known)))
+    return counted.groupBy("target", "step", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
 def confident_joint(scored: DataFrame, num_classes: int) -> DataFrame:
@@ -129,40 +153,30 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     labelled i should be j; that many rows with the largest p_j - p_i are
     flagged, ties in hash order, unless the arg-max is the given label.
 
-    The cut-off row of each (i, j) cell is searched for with bounded histograms,
-    so no cell is ever sorted in one task, and flagging compares each row with
-    at most num_classes cut-offs in place.
+    One aggregation counts the joint and a histogram of every (i, j) cell; it says
+    in which step the cut-off of each cell lies. Only rows of these steps are
+    looked at again for the cut-off row itself, so no cell is ever sorted in one
+    task. Flagging compares each row with at most num_classes cut-offs in place.
     """
     rows = _in_micro(scored)
-    # Staged like the cut-offs: read by every pass over the rows, and of a size
-    # Spark knows, so that it broadcasts these (classes x classes) tables itself.
-    wanted = stage(
-        _calibrated(_joint(rows, num_classes)).where(
-            (F.col("guess") != F.col("target")) & (F.col("calibrated") > 0)
-        ),
-        "wanted",
+    counts = stage(_cell_counts(rows, num_classes), "cells")
+    joint = counts.where("step is null").select("target", F.col("j").alias("guess"), "n")
+    wanted = _calibrated(joint).where((F.col("guess") != F.col("target")) & (F.col("calibrated") > 0))
+    histogram = counts.where("step is not null").join(
+        F.broadcast(wanted.select("target", F.col("guess").alias("j"), F.col("calibrated").alias("k"))), ["target", "j"]
     )
+    # one step per cell, so at most num_classes ** 2 rows
+    steps = cut_off(histogram, ["target", "j"], ["step"], "k", "n")
     order_hash = hash_hex(RANK_SEED, F.col("row_key"))
-    cells = (
-        rows.join(wanted.select("target", F.col("guess").alias("j"), "calibrated"), "target")
-        .select(
-            "target",
-            "j",
-            _shortfall(F.col("p"), F.col("target"), F.col("j")).alias("shortfall"),
-            order_hash.alias("h"),
-            "row_key",
-            "calibrated",
-        )
-        # about 2,000 coarse steps first: tasks merge those before the shuffle,
-        # and the fine histogram then only covers the step with the cut-off
-        .withColumn("step", F.floor(F.col("shortfall") / 1000).cast("int"))
-    )
-    edges = stage(
-        kth_rows(
-            cells, ["target", "j"], ["step", "shortfall"], "h", "row_key", "calibrated"
-        ),
-        "edges",
+    shortfall = _shortfall(F.col("p"), F.col("target"), F.col("j"))
+    near = stage(
+        rows.join(F.broadcast(steps), "target")
+        .select("target", "j", "step", "k", shortfall.alias("shortfall"), order_hash.alias("h"), "row_key")
+        .where(_step(F.col("shortfall")) == F.col("step"))
+        .drop("step"),
+        "near",
     )
+    edges = kth_rows_at_once(near, ["target", "j"], ["shortfall"], "h", "row_key", "k")
     # at most num_classes rows with at most num_classes cut-offs each
     bounds = edges.groupBy("target").agg(
         F.collect_list(F.struct("j", "shortfall", "h", "row_key")).alias("_bounds")
@@ -189,6 +203,10 @@ def flag_issues(scored: DataFrame, num_classes: int) -> DataFrame:
     )
 
 
+def _step(shortfall: Column) -> Column:
+    return F.floor(shortfall / STEP).cast("int")
+
+
 def _shortfall(p: Column, i: Column, j: Column) -> Column:
     """p_i - p_j in millionths: the smaller, the more the row looks like j."""
     return F.get(p, i) - F.get(p, j)
