@@ -8,17 +8,21 @@ row of num_features x num_classes integers, and rows are scored in place by it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmith.functions.columns import hash_u32, let, micro, softmax
+from corpusmith.functions.columns import hash_hex, hash_u32, let, micro, softmax
 from corpusmith.functions.text import tokens
+from corpusmith.operators.sampling import SPLIT_SEED
 from corpusmith.sources.staging import stage
 
 # at most this many numbers in a model (8 bytes each)
 MAX_WEIGHTS = 1 << 20
+# the place of the number of rows among the counts of features
+_ROWS = -1
 
 
 @dataclass(frozen=True)
@@ -46,20 +50,46 @@ class BayesModel:
         """Add class probabilities and log scores; a null text counts as empty."""
         # used once below, so that it stays a constant and is never copied into rows
         with_model = df.withColumn("_model", self.table.select(F.struct("prior", "weights")).scalar())
+        return _scored(with_model, df.columns, F.col("_model"), self.spec, probs, raw)
 
-        def total(bound: Column, c: int) -> Column:
-            def add(acc: Column, x: Column) -> Column:
-                return acc + F.get(F.get(bound["model"]["weights"], x), F.lit(c))
 
-            start = F.get(bound["model"]["prior"], F.lit(c))
-            return F.aggregate(bound["found"], start, add) / F.lit(1e6)
+@dataclass(frozen=True)
+class BayesFolds:
+    """One model per fold, learned from the rows of all other folds. ``table`` has one
+    row: ``models``, an array of ``prior`` and ``weights`` as in ``BayesModel``."""
+
+    spec: BayesSpec
+    folds: int
+    table: DataFrame
+
+    def score(self, df: DataFrame, probs: str, raw: str) -> DataFrame:
+        """Add the scores of the model that has not seen the row."""
+        with_models = df.withColumn("_models", self.table.select("models").scalar())
+        mine = F.get("_models", fold_number(self.folds))
+        return _scored(with_models, df.columns, mine, self.spec, probs, raw)
+
+
+def _scored(
+    df: DataFrame, columns: list[str], model: Column, spec: BayesSpec, probs: str, raw: str
+) -> DataFrame:
+    def total(bound: Column, c: int) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return acc + F.get(F.get(bound["model"]["weights"], x), F.lit(c))
+
+        start = F.get(bound["model"]["prior"], F.lit(c))
+        return F.aggregate(bound["found"], start, add) / F.lit(1e6)
 
-        def totals(bound: Column) -> Column:
-            return F.array(*[total(bound, c) for c in range(self.spec.num_classes)])
+    def totals(bound: Column) -> Column:
+        return F.array(*[total(bound, c) for c in range(spec.num_classes)])
 
-        bound = F.struct(features(self.spec).alias("found"), F.col("_model").alias("model"))
-        scored = with_model.select(*df.columns, let(bound, totals).alias(raw))
-        return scored.select(*df.columns, softmax(F.col(raw)).alias(probs), raw)
+    bound = F.struct(features(spec).alias("found"), model.alias("model"))
+    scored = df.select(*columns, let(bound, totals).alias(raw))
+    return scored.select(*columns, softmax(F.col(raw)).alias(probs), raw)
+
+
+def fold_number(folds: int, key: str = "row_key") -> Column:
+    """The fold of a row, 0 to ``folds - 1``, by its key."""
+    return (hash_u32(hash_hex(SPLIT_SEED, F.lit("fold"), F.col(key))) % folds).cast("int")
 
 
 def features(spec: BayesSpec) -> Column:
@@ -78,6 +108,10 @@ def features(spec: BayesSpec) -> Column:
     )
 
 
+def _log_share(count: Column, size: Column) -> Column:
+    return micro(F.log((count + 1).cast("double") / size.cast("double")))
+
+
 def train_bayes(df: DataFrame, spec: BayesSpec = BayesSpec()) -> BayesModel:
     """Count features per class, with one added to each count.
 
@@ -85,8 +119,7 @@ def train_bayes(df: DataFrame, spec: BayesSpec = BayesSpec()) -> BayesModel:
     without any rows all classes are equal.
     """
     names = [f"c{c}" for c in range(spec.num_classes)]
-    whole_row = -1
-    seen = F.concat(F.array(F.lit(whole_row)), features(spec))
+    seen = F.concat(F.array(F.lit(_ROWS)), features(spec))
     # tasks merge their counts first, so at most num_features + 1 rows each leave
     # them, and no more are stored
     counts = stage(
@@ -101,24 +134,95 @@ def train_bayes(df: DataFrame, spec: BayesSpec = BayesSpec()) -> BayesModel:
         sums = [F.coalesce(F.sum(name), F.lit(0)) for name in names]
         return rows.agg(F.array(*sums)).scalar()
 
-    def log_share(count: Column, size: Column) -> Column:
-        return micro(F.log((count + 1).cast("double") / size.cast("double")))
-
     numbered = df.sparkSession.range(spec.num_features).select(F.col("id").cast("int").alias("feature"))
     logs = [
-        log_share(F.coalesce(name, F.lit(0)), F.col("_sizes")[c] + spec.num_features)
+        _log_share(F.coalesce(name, F.lit(0)), F.col("_sizes")[c] + spec.num_features)
         for c, name in enumerate(names)
     ]
     weights = (
         numbered.join(counts, "feature", "left")
-        .withColumn("_sizes", sizes(counts.where(F.col("feature") != whole_row)))
+        .withColumn("_sizes", sizes(counts.where(F.col("feature") != _ROWS)))
         .select("feature", F.array(*logs).alias("logs"))
         .agg(F.sort_array(F.collect_list(F.struct("feature", "logs")))["logs"].alias("weights"))
     )
-    rows = sizes(counts.where(F.col("feature") == whole_row))
+    rows = sizes(counts.where(F.col("feature") == _ROWS))
     all_rows = sum(F.col("_rows")[c] for c in range(spec.num_classes))
     prior = F.array(
-        *[log_share(F.col("_rows")[c], all_rows + spec.num_classes) for c in range(spec.num_classes)]
+        *[_log_share(F.col("_rows")[c], all_rows + spec.num_classes) for c in range(spec.num_classes)]
     )
     table = weights.withColumn("_rows", rows).select(prior.alias("prior"), "weights")
     return BayesModel(spec, table)
+
+
+def train_folds(df: DataFrame, specs: Sequence[BayesSpec], folds: int) -> list[BayesFolds]:
+    """Models of every specification for cross-validation in ``folds`` folds.
+
+    One pass counts the features of all specifications per fold and class. What
+    a model without fold k has seen is the sum of all folds less fold k, so no
+    model needs a pass of its own. Rows are left out as in ``train_bayes``.
+    """
+    classes = {spec.num_classes for spec in specs}
+    if len(classes) != 1 or folds < 2:
+        raise ValueError("two folds or more, and specifications with the same classes")
+    n_classes = classes.pop()
+    if any(spec.num_features * n_classes * folds > MAX_WEIGHTS for spec in specs):
+        raise ValueError(f"the models of all folds hold at most {MAX_WEIGHTS} numbers")
+    cells = [(k, c) for k in range(folds) for c in range(n_classes)]
+
+    def seen(number: int, spec: BayesSpec) -> Column:
+        found = F.concat(F.array(F.lit(_ROWS)), features(spec))
+        return F.transform(found, lambda f: F.struct(F.lit(number).alias("spec"), f.alias("feature")))
+
+    counts = stage(
+        df.where(F.col("target").between(0, n_classes - 1))
+        .select(
+            "target",
+            fold_number(folds).alias("fold"),
+            F.inline(F.concat(*[seen(i, spec) for i, spec in enumerate(specs)])),
+        )
+        .groupBy("spec", "feature")
+        .agg(*[F.count_if((F.col("fold") == k) & (F.col("target") == c)).alias(f"n{k}_{c}") for k, c in cells]),
+        "bayes-folds",
+    )
+    return [
+        BayesFolds(spec, folds, _fold_models(counts.where(F.col("spec") == i), spec, folds))
+        for i, spec in enumerate(specs)
+    ]
+
+
+def _fold_models(counts: DataFrame, spec: BayesSpec, folds: int) -> DataFrame:
+    classes = range(spec.num_classes)
+
+    def others(own: Callable[[int, int], Column]) -> list[list[Column]]:
+        """What all folds but k have of class c, by k and c."""
+        return [
+            [sum((own(j, c) for j in range(folds) if j != k), F.lit(0)) for c in classes]
+            for k in range(folds)
+        ]
+
+    def totals(rows: DataFrame) -> Column:
+        sums = others(lambda k, c: F.coalesce(F.sum(f"n{k}_{c}"), F.lit(0)))
+        return rows.agg(F.array(*[F.array(*per_class) for per_class in sums])).scalar()
+
+    numbered = counts.sparkSession.range(spec.num_features).select(F.col("id").cast("int").alias("feature"))
+    rest = others(lambda k, c: F.coalesce(F.col(f"n{k}_{c}"), F.lit(0)))
+    logs = F.array(
+        *[
+            F.array(*[_log_share(rest[k][c], F.col("_sizes")[k][c] + spec.num_features) for c in classes])
+            for k in range(folds)
+        ]
+    )
+    weights = (
+        numbered.join(counts, "feature", "left")
+        .withColumn("_sizes", totals(counts.where(F.col("feature") != _ROWS)))
+        .select("feature", logs.alias("logs"))
+        .agg(F.sort_array(F.collect_list(F.struct("feature", "logs")))["logs"].alias("logs"))
+    )
+
+    def model(k: int) -> Column:
+        rows = [F.col("_rows")[k][c] for c in classes]
+        prior = F.array(*[_log_share(n, sum(rows) + spec.num_classes) for n in rows])
+        return F.struct(prior.alias("prior"), F.transform("logs", lambda x: x[k]).alias("weights"))
+
+    with_rows = weights.withColumn("_rows", totals(counts.where(F.col("feature") == _ROWS)))
+    return with_rows.select(F.array(*[model(k) for k in range(folds)]).alias("models"))

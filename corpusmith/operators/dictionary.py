@@ -6,14 +6,19 @@ up means one value, or null, per token of the text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmith.functions import text as tx
+from corpusmith.functions.arrow import map_column
 from corpusmith.functions.columns import let
 from corpusmith.operators.augment import variants
 from corpusmith.sources.staging import stage
@@ -45,30 +50,51 @@ class TokenLookup:
         # measured, then sent or joined: computed once
         self.dictionary = stage(unique, "dictionary")
         small = fits_broadcast(self.dictionary, broadcast_bytes)
-        self._udf = _in_place(self.dictionary) if small else None
+        self.sent = Sent.of(self.dictionary) if small else None
 
     def apply(self, df: DataFrame, tokens: str, output: str) -> DataFrame:
         """Add ``output``: the dictionary's value for each entry of ``tokens``."""
-        if self._udf is not None:
-            return df.withColumn(output, self._udf(F.col(tokens)))
+        if self.sent is not None:
+            return df.withColumn(output, _in_place(self.sent, self.dictionary)(F.col(tokens)))
         rows = with_row_no(df)
         joined = salted_join(explode_tokens(rows, tokens), self.dictionary, ["token"])
         return collect_back(rows, tokens, joined, "value", output)
 
 
-def _in_place(dictionary: DataFrame):
+class Sent(NamedTuple):
+    """A dictionary that was sent to the executors."""
+
+    name: str
+    entries: Broadcast
+
+    @classmethod
+    def of(cls, dictionary: DataFrame) -> Sent:
+        entries = dictionary.toArrow()
+        columns = [entries.column(c).combine_chunks() for c in ("token", "value")]
+        return cls(uuid.uuid4().hex, dictionary.sparkSession.sparkContext.broadcast(columns))
+
+    def ready(self) -> tuple[dict[str, int], pa.Array]:
+        """Its index and values, made ready once per Python worker, not once per batch."""
+        if self.name not in _in_use:
+            while len(_in_use) >= _MOST_IN_USE:
+                _in_use.pop(next(iter(_in_use)))
+            keys, values = self.entries.value
+            _in_use[self.name] = {key: i for i, key in enumerate(keys.to_pylist())}, values
+        return _in_use[self.name]
+
+
+_in_use: dict[str, tuple[dict[str, int], pa.Array]] = {}
+# dictionaries that a worker keeps ready; one task uses a few at most
+_MOST_IN_USE = 4
+
+
+def _in_place(sent: Sent, dictionary: DataFrame):
     value_type = dictionary.schema["value"].dataType
-    entries = dictionary.toArrow()
-    shared = dictionary.sparkSession.sparkContext.broadcast(
-        (
-            entries.column("token").combine_chunks(),
-            entries.column("value").combine_chunks(),
-        )
-    )
 
     def values_of(rows: pa.Array) -> pa.Array:
-        keys, values = shared.value
-        found = values.take(pc.index_in(rows.flatten(), value_set=keys))
+        places, values = sent.ready()
+        at = pa.array(map(places.get, rows.flatten().to_pylist()), pa.int32())
+        found = values.take(at)
         sizes = pc.fill_null(pc.list_value_length(rows), 0)
         ends = pc.cumulative_sum(sizes).cast(pa.int32())
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
@@ -174,6 +200,107 @@ class PivotLookup(TokenLookup):
         super().__init__(dictionary, **options)
 
 
+class PhraseLookup(PivotLookup):
+    """Round trips of phrases: ``src`` is one token or several, joined by single spaces,
+    and at most ``max_tokens`` of them."""
+
+    def __init__(self, forward: DataFrame, back: DataFrame, *args, max_tokens: int = 3, **options):
+        short = forward.where(F.size(F.split("src", " ")) <= max_tokens)
+        super().__init__(short, back, *args, **options)
+        self.max_tokens = max_tokens
+
+
+def phrases_at(tokens: Column, max_tokens: int) -> Column:
+    """For each token the phrases of 1 to ``max_tokens`` tokens that begin with it, one
+    token's after another's; null where the text ends before."""
+
+    def phrase(toks: Column, place: Column) -> Column:
+        start, size = F.floor(place / max_tokens).cast("int"), (place % max_tokens + 1).cast("int")
+        return F.when(start + size <= F.size(toks), F.array_join(F.slice(toks, start + 1, size), " "))
+
+    def all_of(toks: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(toks) * max_tokens - 1)
+        found = F.transform(places, lambda place: phrase(toks, place))
+        return F.when(F.size(toks) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return F.when(tokens.isNotNull(), let(tokens, all_of))
+
+
+def _longest_first(size: int, max_tokens: int, result: Callable[[int, int], str | None]) -> str | None:
+    """The results of the longest phrases of a text of ``size`` tokens, from left to right;
+    null if no phrase begins at some place. ``result`` is that of a place and length."""
+    out, at = [], 0
+    while at < size:
+        for length in range(min(max_tokens, size - at), 0, -1):
+            value = result(at, length)
+            if value is not None:
+                out.append(value)
+                at += length
+                break
+        else:
+            return None
+    return " ".join(out)
+
+
+def _walk_tokens(sent: Sent, max_tokens: int, languages: int) -> Callable[[pa.Array], pa.Array]:
+    def of(rows: pa.Array) -> pa.Array:
+        places, values = sent.ready()
+
+        def walk(tokens: list[str], language: int) -> str | None:
+            def result(at: int, length: int) -> str | None:
+                place = places.get(" ".join(tokens[at : at + length]))
+                return None if place is None else values[place][language].as_py()
+
+            return _longest_first(len(tokens), max_tokens, result)
+
+        out = [None if r is None else [walk(r, i) for i in range(languages)] for r in rows.to_pylist()]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return of
+
+
+def _walk_found(max_tokens: int, languages: int) -> Callable[[pa.Array], pa.Array]:
+    def of(rows: pa.Array) -> pa.Array:
+        def walk(found: list, language: int) -> str | None:
+            def result(at: int, length: int) -> str | None:
+                value = found[at * max_tokens + length - 1]
+                return None if value is None else value[language]
+
+            return _longest_first(len(found) // max_tokens, max_tokens, result)
+
+        out = [None if r is None else [walk(r, i) for i in range(languages)] for r in rows.to_pylist()]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return of
+
+
+def phrase_rewrite(
+    df: DataFrame,
+    phrases: PhraseLookup,
+    languages: Sequence[str] | None = None,
+    on_error: str = "keep",
+) -> DataFrame:
+    """As ``pivot_rewrite``, phrase by phrase: at each place the longest phrase of the
+    table counts, and the next one begins behind it. A text with a place where no
+    phrase begins is an error."""
+    if on_error not in ("keep", "drop"):
+        raise ValueError(f"on_error must be 'keep' or 'drop', not {on_error!r}")
+    sizes = phrases.max_tokens, len(phrases.languages)
+    kind, tokens = T.ArrayType(T.StringType()), tx.tokens(F.col("text"))
+    if phrases.sent is not None:
+        rewritten = map_column(df, tokens, "_rewritten", kind, _walk_tokens(phrases.sent, *sizes))
+    else:
+        at = df.withColumn("_phrases", phrases_at(tokens, phrases.max_tokens))
+        found = phrases.apply(at, "_phrases", "_found").drop("_phrases")
+        rewritten = map_column(found, F.col("_found"), "_rewritten", kind, _walk_found(*sizes)).drop("_found")
+    chosen = phrases.languages if languages is None else languages
+    texts = {f"pivot_{x}": F.col("_rewritten")[phrases.languages.index(x)] for x in chosen}
+    if on_error == "keep":
+        texts = {kind: F.coalesce(t, "text") for kind, t in texts.items()}
+    out = variants(rewritten, texts).drop("_rewritten")
+    return out if on_error == "keep" else out.where(F.col("text").isNotNull())
+
+
 def pivot_rewrite(
     df: DataFrame,
     pivots: PivotLookup,

@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions import text as tx
 from corpusmith.operators import dictionary, eda, isolate, metrics, models, relabel
-from corpusmith.operators import sampling, synth
+from corpusmith.operators import sampling, spelling, synth
 from corpusmith.operators.augment import augment, naive_augment, noise_filtering
 from corpusmith.operators.bayes import BayesSpec
+from corpusmith.operators.linear import train_linear
 from corpusmith.operators.models import TextModelSpec
 from corpusmith.plans import flows, inputs
 from corpusmith.profiles import GROUP_BINS, KOREAN, LATIN, ZERO_GROUP_BINS
-from corpusmith.sources.readers import GENERATED_SCHEMA, read_corpus
+from corpusmith.sources.readers import GENERATED_SCHEMA, as_dataframe, read_corpus
 from corpusmith.sources.sinks import append_corpus, write_corpus, write_unquoted
 from corpusmith.sources.staging import new_path, stage
-from corpusmith.streaming.generations import RECORD_SCHEMA, append_titles, read_generations
+from corpusmith.streaming.generations import (
+    RECORD_SCHEMA,
+    append_numbered,
+    append_titles,
+    read_generations,
+    read_numbered,
+)
+from corpusmith.streaming.generations import numbered_rounds as batch_rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +41,32 @@ def query(fn: Query) -> Query:
 # --- noise measurement and isolation ------------------------------------------
 
 
+# all documents, and null, empty, blank and ellipsis texts made from some of them
+
+
+@query
+def noise_ratios_of_odd_texts(spark, sf):
+    odd = inputs.odd_documents(spark, sf)
+    hard = tx.hard_noise_ratio(F.col("text"), LATIN).alias("hard")
+    soft = tx.soft_noise_ratio(tx.soft_clean_text(F.col("text")), LATIN).alias("soft")
+    return odd.select("row_key", hard, soft)
+
+
+@query
+def isolation_of_odd_texts(spark, sf):
+    odd = inputs.odd_documents(spark, sf)
+    sides = []
+    for mode in ("hard", "soft"):
+        for side, rows in zip(("noisy", "clean"), isolate.isolate(odd, mode, LATIN)):
+            sides.append(rows.select("row_key", "text", F.lit(f"{mode} {side}").alias("side")))
+    return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+
+
+@query
+def noise_filter_of_odd_texts(spark, sf):
+    return noise_filtering(inputs.odd_documents(spark, sf), LATIN).select(*VARIANT)
+
+
 def _hard(docs: DataFrame, profile) -> DataFrame:
     return isolate.measure_noise(docs, "hard", profile)
 
@@ -233,6 +267,33 @@ def eda_all_joined(spark, sf):
     return eda.eda_augment(turns, lookup, eda.ALL_OPS).select(*VARIANT)
 
 
+@query
+def spelling_corrections(spark, sf):
+    unknown, known = inputs.word_lists(inputs.conversations(spark, sf))
+    return spelling.spelling_corrections(unknown, known)
+
+
+@query
+def correct_unknown_tokens(spark, sf):
+    turns = inputs.conversations(spark, sf)
+    found = stage(spelling.spelling_corrections(*inputs.word_lists(turns)), "corrections")
+    return dictionary.correct_tokens(turns, found.select("token", "correction")).select(*VARIANT)
+
+
+@query
+def phrase_rewrite_keep(spark, sf):
+    turns, words = _with_words(spark, sf)
+    phrases = dictionary.PhraseLookup(*inputs.phrase_pivots(turns, words))
+    return dictionary.phrase_rewrite(turns, phrases).select(*VARIANT)
+
+
+@query
+def phrase_rewrite_drop_joined(spark, sf):
+    turns, words = _with_words(spark, sf)
+    phrases = dictionary.PhraseLookup(*inputs.phrase_pivots(turns, words), broadcast_bytes=0)
+    return dictionary.phrase_rewrite(turns, phrases, on_error="drop").select(*VARIANT)
+
+
 @query
 def correct_tokens_joined(spark, sf):
     turns, words = _with_words(spark, sf)
@@ -256,6 +317,22 @@ def score_batches(spark, sf):
     return models.score_batches(docs, factory)
 
 
+@query
+def score_batches_in_order(spark, sf):
+    # a state machine over the characters: each state depends on the one before
+    def factory():
+        def last_state(text: str | None) -> str | None:
+            state = 7
+            for c in text or "":
+                state = (state * 31 + ord(c)) % 1009
+            return None if text is None else str(state)
+
+        return lambda texts: texts.map(last_state)
+
+    docs = inputs.documents(spark, sf).select("row_key", "text")
+    return models.score_batches(docs, factory, "state", max_bytes=1 << 20).select("row_key", "state")
+
+
 @query
 def accumulator_counts(spark, sf):
     turns, words = _with_words(spark, sf)
@@ -349,6 +426,25 @@ def stream_parse_generations(spark, sf):
     return spark.read.parquet(target).select(*TITLE)
 
 
+@query
+def stream_numbered_titles(spark, sf):
+    """Three rounds of records, each found by a stream that was started anew."""
+    source, target, checkpoint = (new_path(spark, x) for x in ("records", "numbered", "stream"))
+    records = _generations(spark, sf)
+    for round_ in range(3):
+        mine = F.col("row_key").cast("long") % 3 == round_
+        records.where(mine).write.mode("append").json(source)
+        found = read_generations(spark, source, "json", RECORD_SCHEMA, max_files=1 << 30)
+        append_numbered(found, target, checkpoint).awaitTermination()
+    return read_numbered(spark, target)
+
+
+@query
+def numbered_rounds(spark, sf):
+    round_ = (F.col("row_key").cast("long") % 3).alias("round")
+    return batch_rounds(_generations(spark, sf).select("*", round_))
+
+
 def _synthetic(spark, sf) -> DataFrame:
     # parsed once; numbering and merging read the titles several times
     titles = stage(synth.parse_generations(_generations(spark, sf)), "titles")
@@ -611,6 +707,47 @@ def bayes_best_spec(spark, sf):
     )
 
 
+def _linear(spark, sf, model: int | None) -> DataFrame:
+    docs = inputs.labelled_documents(spark, sf)
+    return train_linear(docs, inputs.LINEAR).predict(docs, model=model).select("row_key", "target")
+
+
+@query
+def linear_softmax(spark, sf):
+    return _linear(spark, sf, 0)
+
+
+@query
+def linear_logistic(spark, sf):
+    return _linear(spark, sf, 1)
+
+
+@query
+def linear_hinge(spark, sf):
+    return _linear(spark, sf, 2)
+
+
+@query
+def linear_squares(spark, sf):
+    return _linear(spark, sf, 3)
+
+
+@query
+def linear_ensemble(spark, sf):
+    # four estimators that differ, on one scale
+    return _linear(spark, sf, None)
+
+
+@query
+def bayes_cross_validated_spec(spark, sf):
+    labelled = inputs.labelled_documents(spark, sf).where("target is not null")
+    model, f1 = models.cross_validated(labelled, BAYES, folds=5)
+    # each row gets the class that the model without its fold gives it
+    return models.predict(labelled, model).select(
+        "row_key", "target", F.lit(model.spec.ngram).alias("ngram"), F.round(F.lit(f1), 9).alias("macro_f1")
+    )
+
+
 # --- end to end --------------------------------------------------------------------
 
 
@@ -646,6 +783,22 @@ def notebook_flow_rows(spark, sf):
     return _flow_rows(flows.notebook_flow(corpus, inputs.resources(corpus), SPECS[:1], LATIN))
 
 
+@query
+def soft_flow_rows(spark, sf):
+    corpus = inputs.labelled_documents(spark, sf)
+    return _flow_rows(flows.soft_flow(corpus, inputs.resources(corpus), WORDS, LATIN))
+
+
+@query
+def relabel_run(spark, sf):
+    # from files: one half of the documents trains, the other is relabelled
+    halves = sampling.split_hash(inputs.labelled_documents(spark, sf), 0.5)
+    paths = [new_path(spark, side) + ".parquet" for side in ("train", "relabel")]
+    for path, half in zip(paths, halves):
+        write_corpus(half, path)
+    return flows.relabel_run(*paths, BAYES[0], spark).select("ID", "target")
+
+
 @query
 def soft_flow_counts(spark, sf):
     corpus = inputs.labelled_documents(spark, sf)
@@ -662,6 +815,18 @@ def notebook_flow_counts(spark, sf):
 # --- CSV in and out ----------------------------------------------------------------
 
 
+@query
+def path_or_frame(spark, sf):
+    # CSV by path, Parquet by path, and a frame, which passes
+    docs = inputs.documents(spark, sf).select("ID", "text", "target")
+    csv, parquet = new_path(spark, "csv"), new_path(spark, "table") + ".parquet"
+    write_corpus(docs, csv, fmt="csv")
+    write_corpus(docs, parquet)
+    read = [as_dataframe(spark, csv), as_dataframe(spark, parquet, strict=True), as_dataframe(spark, docs, strict=True)]
+    named = [df.select("ID", "text", "target", F.lit(i).alias("source")) for i, df in enumerate(read)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query
 def csv_round_trip(spark, sf):
     path = new_path(spark, "csv")

@@ -17,6 +17,8 @@ from corpusmith.functions import text as tx
 from corpusmith.functions.columns import below_fraction, dot, hash_hex, let, softmax
 from corpusmith.operators.dictionary import PivotLookup, correction_lookup
 from corpusmith.operators.eda import SynonymLookup
+from corpusmith.operators.linear import LinearSpec
+from corpusmith.operators.spelling import token_counts
 from corpusmith.operators.synth import LIST_MARKER
 from corpusmith.plans.flows import Resources
 from corpusmith.sources.staging import stage
@@ -25,6 +27,8 @@ LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HANGUL_LETTERS = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
 LANGUAGES = ("en", "zh-CN", "de")
 NUM_CLASSES = 10
+# few steps: SQL has a subquery of its own for each
+LINEAR = LinearSpec(num_features=4096, num_classes=4, iterations=3, decay=0.001)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +60,28 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(docs)
 
 
+ODD_TEXTS = ("null", "empty", "blank", "dots", "ellipsis")
+
+
+def odd_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents and, for every tenth, five more rows: a null text, an empty one, a
+    blank one, the text between dots, and the text with ellipses for full stops."""
+    docs = documents(spark, folder).select("row_key", "ID", "text", "target")
+    text = F.col("text")
+    made = {
+        "null": F.lit(None).cast("string"),
+        "empty": F.lit(""),
+        "blank": F.lit(" \t\u3000\n"),
+        "dots": F.concat(F.lit("....."), text, F.lit(" ... …")),
+        "ellipsis": F.replace(text, F.lit("."), F.lit("...")),
+    }
+    some = docs.where(F.col("row_key").cast("long") % 10 == 0)
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in made.items()]))
+    more = some.select("row_key", "ID", "target", rows)
+    key = F.concat_ws("#", "row_key", "kind")
+    return docs.unionByName(more.withColumn("row_key", key).drop("kind"))
+
+
 def korean_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their lower-case letters written in Hangul."""
     return documents(spark, folder).withColumn(
@@ -133,6 +159,38 @@ def pivots(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forward, back
 
 
+def phrase_pivots(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forward and back tables of phrases: the words that ``pivots`` has, and two and three
+    words that follow each other somewhere, chosen by their length. In one language
+    the words are short, so that its longer phrases decide what is covered."""
+    tokens = tx.tokens(F.col("text"))
+
+    def following(n: int) -> DataFrame:
+        places = F.sequence(F.lit(1), F.size("t") - (n - 1))
+        runs = F.when(F.size("t") >= n, F.transform(places, lambda i: F.array_join(F.slice("t", i, n), " ")))
+        found = texts.select(tokens.alias("t")).select(F.explode(F.array_distinct(runs)).alias("src"))
+        return found.where(F.length("src") % (n + 1) == 0).distinct()
+
+    longer = following(2).unionByName(following(3))
+    langs = F.explode(F.array(*[F.lit(x) for x in LANGUAGES])).alias("lang")
+    foreign = F.concat_ws(":", F.col("lang"), F.reverse("src")).alias("dst")
+    forward, back = pivots(words)
+    more = longer.select("src", langs).select("lang", "src", foreign)
+    home = F.concat(F.lit("<"), F.translate("src", "aeiou", "uaeio"), F.lit(">"))
+    return (
+        forward.unionByName(more),
+        back.unionByName(more.select("lang", F.col("dst").alias("src"), home.alias("dst"))),
+    )
+
+
+def word_lists(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``unknown (token)`` and ``known (token, n)``: words of the letters a to z that
+    occur less than three times, and the others."""
+    counts = stage(token_counts(texts.withColumn("text", F.lower("text"))), "word-counts")
+    words = counts.where(F.col("token").rlike("^[a-z]+\\z"))
+    return words.where("n < 3").select("token"), words.where("n >= 3")
+
+
 def resources(texts: DataFrame) -> Resources:
     words = stage(vocabulary(texts), "words")
     return Resources(

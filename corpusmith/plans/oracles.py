@@ -15,7 +15,7 @@ from corpusmith.operators.synth import (
     LIST_MARKER,
     RECOVERY_INSTRUCTION,
 )
-from corpusmith.plans.inputs import HANGUL_LETTERS, LATIN_LETTERS
+from corpusmith.plans.inputs import HANGUL_LETTERS, LATIN_LETTERS, LINEAR
 from corpusmith.profiles import ALLOWED_TERMS, GROUP_BINS, ZERO_GROUP_BINS
 from corpusmith.sources.readers import NA_VALUES
 
@@ -359,14 +359,96 @@ ORACLES["pivot_rewrite_keep"] = (
 ORACLES["pivot_rewrite_drop"] = (
     f"{_TURN_VOCAB}, {_pivot('turns', False)} SELECT * FROM pivoted"
 )
+_SPELLING = f"""counts AS (
+  SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('lower(text)')}) AS token FROM turns) GROUP BY token),
+words AS MATERIALIZED (SELECT * FROM counts WHERE regexp_matches(token, '^[a-z]+$')),
+pairs AS (
+  SELECT u.token, k.token AS correction, k.n, levenshtein(u.token, k.token) AS distance
+  FROM words u JOIN words k ON u.n < 3 AND k.n >= 3 AND abs(length(u.token) - length(k.token)) <= 2),
+corrections AS (
+  SELECT token, correction, distance::INT AS distance FROM pairs WHERE distance <= 2
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, correction) = 1)"""
+ORACLES["spelling_corrections"] = f"WITH {TURNS}, {_SPELLING} SELECT * FROM corrections"
+ORACLES["correct_unknown_tokens"] = f"""WITH {TURNS}, {_SPELLING}, {_RUNS},
+fixed AS (
+  SELECT row_key, string_agg(coalesce(c.correction, run), '' ORDER BY pos) AS text
+  FROM runs LEFT JOIN corrections c ON c.token = runs.run GROUP BY row_key)
+{_rebuilt("turns", "fixed", _TURN_TEXT, "corrected")}"""
+
+
+def _phrases(keep: bool) -> str:
+    wanted = "true" if keep else "m.text IS NOT NULL"
+    text = "coalesce(m.text, b.text)" if keep else "m.text"
+    return f"""WITH RECURSIVE {TURNS}, {_vocabulary('turns')},
+langs(lang, lim) AS (VALUES ('en', 20), ('zh-CN', 1000), ('de', 16)),
+arr AS MATERIALIZED (SELECT row_key, {_tokens('text')} AS toks FROM turns),
+longer AS (
+  SELECT DISTINCT n, array_to_string(toks[i:i + n - 1], ' ') AS src
+  FROM (SELECT n, toks, unnest(range(1, len(toks) - n + 2)) AS i FROM arr, (VALUES (2), (3)) AS ns(n))),
+phr AS MATERIALIZED (
+  SELECT lang, 1 AS n, token AS src, translate(token, 'aeiou', 'uaeio') AS home
+  FROM vocab, langs WHERE length(token) < lim
+  UNION ALL SELECT lang, n, src, '<' || translate(src, 'aeiou', 'uaeio') || '>'
+  FROM longer, langs WHERE length(src) % (n + 1) = 0),
+walk AS (
+  SELECT row_key, lang, 0::BIGINT AS pos, toks, '' AS text FROM arr, langs
+  UNION ALL
+  SELECT row_key, lang, pos + n, toks, text || ' ' || home FROM (
+    SELECT w.row_key, w.lang, w.pos, w.toks, w.text, p.n, p.home,
+      row_number() OVER (PARTITION BY w.row_key, w.lang ORDER BY p.n DESC) AS best
+    FROM (SELECT *, array_to_string(toks[pos + 1:pos + k], ' ') AS here
+          FROM walk, (VALUES (1), (2), (3)) AS ks(k) WHERE pos + k <= len(toks)) w
+    JOIN phr p ON p.lang = w.lang AND p.n = w.k AND p.src = w.here)
+  WHERE best = 1)
+SELECT b.row_key || '#pivot_' || langs.lang AS row_key, b.ID, {text} AS text, b.target,
+  'pivot_' || langs.lang AS aug_kind
+FROM turns b CROSS JOIN langs
+LEFT JOIN (SELECT row_key, lang, substr(text, 2) AS text FROM walk WHERE pos = len(toks)) m
+  ON m.row_key = b.row_key AND m.lang = langs.lang
+WHERE {wanted}"""
+
+
+ORACLES["phrase_rewrite_keep"] = _phrases(True)
+ORACLES["phrase_rewrite_drop_joined"] = _phrases(False)
 ORACLES["score_batches"] = f"""WITH {DOCS}
 SELECT row_key, replace(text, 'e', '') AS text FROM docs"""
+ORACLES["score_batches_in_order"] = f"""WITH {DOCS}
+SELECT row_key, list_reduce(
+  list_prepend(7::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
+  lambda state, c: (state * 31 + c) % 1009)::VARCHAR AS state
+FROM docs"""
 ORACLES["accumulator_counts"] = """SELECT aug_kind, sum(n)::BIGINT AS n_rows FROM (
   SELECT count(*) AS n FROM conversations) CROSS JOIN (VALUES
   ('original'), ('original'), ('synonym'), ('insert'), ('swap'), ('delete'),
   ('pivot_en'), ('pivot_zh-CN'), ('pivot_de'), ('plain'), ('lower'), ('spaced')) AS k(aug_kind)
 GROUP BY aug_kind"""
 
+# --- null, empty, blank and ellipsis texts --------------------------------------------
+
+_ODD = f"""docs AS (
+  WITH {DOCS}, kinds(kind) AS (VALUES ('null'), ('empty'), ('blank'), ('dots'), ('ellipsis'))
+  SELECT row_key, ID, text, target FROM docs
+  UNION ALL
+  SELECT row_key || '#' || kind, ID, CASE kind WHEN 'empty' THEN '' WHEN 'blank' THEN ' ' || chr(9) || '\u3000' || chr(10)
+    WHEN 'dots' THEN '.....' || text || ' ... …' WHEN 'ellipsis' THEN replace(text, '.', '...') END, target
+  FROM docs, kinds WHERE doc_id % 10 = 0)"""
+_ODD_HARD = f"WITH {_ODD}, {_hard(LATIN + WS)}"
+_ODD_SOFT = f"WITH {_ODD}, {_soft(_latin_noise)}"
+ORACLES["noise_ratios_of_odd_texts"] = f"""SELECT row_key, hard, soft
+FROM ({_ODD_HARD} SELECT row_key, noise_ratio AS hard FROM measured)
+JOIN ({_ODD_SOFT} SELECT row_key, noise_ratio AS soft FROM measured) USING (row_key)"""
+_odd_sides = {
+    "hard noisy": (_ODD_HARD, "noise_ratio > 0"),
+    "hard clean": (_ODD_HARD, "noise_ratio = 0"),
+    "soft noisy": (_ODD_SOFT, "noise_ratio > 0.1 AND noise_ratio <= 0.36"),
+    "soft clean": (_ODD_SOFT, "noise_ratio <= 0.11"),
+}
+ORACLES["isolation_of_odd_texts"] = " UNION ALL ".join(
+    f"SELECT * FROM ({source} SELECT row_key, text, '{side}' AS side FROM measured WHERE {rule})"
+    for side, (source, rule) in _odd_sides.items()
+)
+ORACLES["noise_filter_of_odd_texts"] = _variants(_ODD, {"filtered": _filtered(_latin_keep)})
+
 # --- prompts and generated text ------------------------------------------------
 
 ORACLES["recovery_prompts"] = f"""WITH {DOCS}
@@ -449,6 +531,15 @@ SELECT row_key, target, title_no, text FROM titles"""
 ORACLES["stream_parse_generations"] = f"""WITH {DOCS}, {_GENERATED}
 SELECT row_key, target, title_no, {_UNQUOTED.format('text')} AS text
 FROM titles WHERE NOT contains({_UNQUOTED.format('text')}, 'IT 기업들')"""
+_ROUNDS = f"""WITH {DOCS}, {_GENERATED},
+cleaned AS (
+  SELECT row_key::BIGINT % 3 AS round, row_key || '#' || title_no AS row_key, target,
+    {_UNQUOTED.format('text')} AS text
+  FROM titles)
+SELECT printf('{ID_FORMAT}', row_number() OVER (ORDER BY round, {_hash('id')}, row_key)) AS ID, text, target
+FROM cleaned WHERE NOT contains(text, 'IT 기업들')"""
+ORACLES["numbered_rounds"] = _ROUNDS
+ORACLES["stream_numbered_titles"] = _ROUNDS
 _SYNTHETIC = f"""cleaned AS (
   SELECT row_key || '#' || title_no AS row_key, target, {_UNQUOTED.format('text')} AS text
   FROM titles),
@@ -652,6 +743,36 @@ made AS ({" UNION ALL ".join(made)})
 ORACLES["hard_flow_rows"] = _flow_rows(insert=True, keep=True)
 ORACLES["notebook_flow_rows"] = _flow_rows(insert=False, keep=False)
 
+_SOFT_SIDES = f"""WITH {_corpus_as_docs}, {_soft(_latin_noise)},
+clean AS (
+  SELECT row_key || '#clean' AS row_key, ID, text, target FROM measured WHERE noise_ratio <= 0.11),
+base AS (
+  SELECT row_key || '#noisy#filtered' AS row_key, ID, {_filtered(_latin_keep)} AS text, target
+  FROM measured WHERE noise_ratio > 0.1 AND noise_ratio <= 0.36
+  UNION ALL SELECT * FROM clean),
+{_vocabulary('corpus')}, {_exploded('base')}, {_SYNONYMS}, {_PICKED}, {_DELETE}, {_SWAP}"""
+ORACLES["soft_flow_rows"] = f"""{_SOFT_SIDES}, {_pivot('base', True)},
+{_RUNS.replace("FROM turns", "FROM base")},
+fixed AS (
+  SELECT row_key, string_agg(coalesce(c.correction, run), '' ORDER BY pos) AS text
+  FROM runs LEFT JOIN (
+    SELECT token, translate(token, 'aeiou', 'eioua') AS correction
+    FROM vocab WHERE length(token) >= 7) c ON c.token = runs.run
+  GROUP BY row_key),
+made AS (
+  SELECT row_key || '#filtered' AS row_key, ID, {_filtered(_latin_keep)} AS text, target, 'filtered' AS aug_kind
+  FROM clean
+  UNION ALL SELECT row_key || '#recovered', ID, row_key, target, 'recovered' FROM base
+  UNION ALL SELECT row_key || '#original', ID, text, target, 'original' FROM base
+  UNION ALL {_rebuilt("base", "fixed", _TURN_TEXT, "corrected")}
+  UNION ALL {_rebuilt("base", "replaced", _TURN_TEXT, "synonym")}
+  UNION ALL {_rebuilt("base", "inserted", _TURN_TEXT, "insert")}
+  UNION ALL {_swap_rows("base")}
+  UNION ALL {_delete_rows("base")}
+  UNION ALL SELECT row_key, ID, text, target, aug_kind FROM pivoted WHERE aug_kind = 'pivot_en')
+SELECT row_key, ID, aug_kind, text, CASE WHEN contains(row_key, '#noisy#') THEN target::VARCHAR END AS target
+FROM made"""
+
 # --- trained models: each row gets a class --------------------------------------------
 
 ORACLES["mllib_predict"] = f"""WITH {LABELLED}
@@ -707,14 +828,11 @@ chosen AS (
   QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY share DESC, class) = 1)"""
 
 
-def _halves(fraction: str) -> str:
-    below = f"{_u32(_hash('split'))} / 4294967296.0::DOUBLE < {fraction}::DOUBLE"
-    return f"""sides AS (SELECT *, {below} AS valid FROM corpus),
+_SIDES = f"sides AS (SELECT *, {_u32(_hash('split'))} / 4294967296.0::DOUBLE < 0.5::DOUBLE AS valid FROM corpus)"
+_HALVES = f"""{_SIDES},
 uses AS (
   SELECT part, row_key, text, target, valid = (part = 1) AS learn FROM sides, range(2) AS r(part))"""
-
-
-_CROSS = f"WITH {LABELLED}, {_halves('0.5')}"
+_CROSS = f"WITH {LABELLED}, {_HALVES}"
 _VALID = f"""WITH {LABELLED},
 uses AS (
   SELECT 0 AS part, row_key, text, target, NOT ({_below.format('row_key')}) AS learn
@@ -740,10 +858,20 @@ SELECT row_key, prediction AS target FROM chosen"""
 ORACLES["bayes_ensemble"] = f"""{_CROSS}, {_bayes(1, 'uses')}, {_bayes(2, 'uses')}
 SELECT a.row_key, class AS target FROM raw1 a JOIN raw2 b USING (part, row_key, class)
 QUALIFY row_number() OVER (PARTITION BY a.row_key ORDER BY (a.x + b.x) / 2 DESC, class) = 1"""
+ORACLES["relabel_run"] = f"""WITH {LABELLED}, {_SIDES},
+uses AS (SELECT 0 AS part, row_key, text, target, NOT valid AS learn FROM sides),
+{_bayes(1, 'uses')}, {_softmax('raw1')}, {_ISSUES}
+SELECT p.row_key AS ID, coalesce(i.suggested, p.target, p.prediction) AS target
+FROM predicted p LEFT JOIN issues i USING (row_key)"""
 ORACLES["bayes_label_issues"] = f"""{_CROSS}, {_bayes(1, 'uses')}, {_softmax('raw1')},
 {_ISSUES}
 {_RANKED_ISSUES}"""
-ORACLES["bayes_best_spec"] = f"""{_VALID}, {_bayes(1, 'uses')}, {_bayes(2, 'uses')},
+_CROSS_FOLDS = f"""WITH {LABELLED},
+uses AS (
+  SELECT part, row_key, text, target, {_u32(_hash('fold'))} % 5 <> part AS learn
+  FROM corpus, range(5) AS r(part) WHERE target IS NOT NULL)"""
+for _name, _uses in (("bayes_best_spec", _VALID), ("bayes_cross_validated_spec", _CROSS_FOLDS)):
+    ORACLES[_name] = f"""{_uses}, {_bayes(1, 'uses')}, {_bayes(2, 'uses')},
 picked AS (
   SELECT ngram, row_key, target, class AS prediction
   FROM (SELECT 1 AS ngram, * FROM raw1 UNION ALL SELECT 2, * FROM raw2)
@@ -754,6 +882,63 @@ best AS (SELECT * FROM f1s ORDER BY f1 DESC, ngram LIMIT 1)
 SELECT row_key, prediction AS target, ngram, round(f1, 9) AS macro_f1
 FROM picked JOIN best USING (ngram)"""
 
+# --- linear models, trained together ---------------------------------------------------
+
+_SLOPES = """CASE m
+      WHEN 0 THEN e / sum(e) OVER (PARTITION BY row_key, m) - y
+      WHEN 1 THEN 1 / (1 + exp(-s)) - y
+      WHEN 2 THEN (1 - 2 * y) * greatest(0, 1 - (2 * y - 1) * s)
+      ELSE s - (2 * y - 1) END"""
+
+
+# half of the inverse curvature of each loss
+_STEP = "[1.0, 2.0, 0.5, 0.5][m + 1]::DOUBLE"
+
+
+def _linear_step(t: int) -> str:
+    """Scores with the weights of step ``t``, and the weights of the next."""
+    return f"""sums{t} AS MATERIALIZED (
+  SELECT row_key, m, c, sum(w) AS w FROM grams JOIN w{t} USING (f) GROUP BY ALL),
+s{t} AS MATERIALIZED (
+  SELECT d.*, m, c, (coalesce(b.w, 0) + coalesce(x.w, 0)::DOUBLE / norm) / 1e6::DOUBLE AS s,
+    (target IS NOT NULL AND target = c)::INT::DOUBLE AS y
+  FROM sized d CROSS JOIN cells LEFT JOIN sums{t} x USING (row_key, m, c)
+  LEFT JOIN (SELECT * FROM w{t} WHERE f = 4096) b USING (m, c)),
+slopes{t} AS MATERIALIZED (
+  SELECT row_key, norm, m, c, {_SLOPES} AS r
+  FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY row_key, m)) AS e FROM s{t} WHERE target BETWEEN 0 AND 3)),
+g{t} AS MATERIALIZED (
+  SELECT m, c, f, sum(floor(r * 1e6::DOUBLE / norm + 0.5::DOUBLE)::BIGINT) AS g
+  FROM slopes{t} JOIN grams USING (row_key) GROUP BY ALL
+  UNION ALL SELECT m, c, 4096, sum(floor(r * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) FROM slopes{t} GROUP BY ALL),
+w{t + 1} AS MATERIALIZED (
+  SELECT m, c, f, floor(coalesce(w, 0) * (1.0::DOUBLE - {_STEP} * {LINEAR.decay}::DOUBLE)
+    - g * {_STEP} / (SELECT count(*) FROM sized WHERE target BETWEEN 0 AND 3) + 0.5::DOUBLE)::BIGINT AS w
+  FROM g{t} LEFT JOIN w{t} USING (m, c, f))"""
+
+
+_LINEAR = f"""WITH {LABELLED},
+toks AS (SELECT row_key, target, {_tokens("coalesce(text, '')")} AS t FROM corpus),
+grams AS MATERIALIZED (SELECT row_key, {_u32("md5(g)")} % 4096 AS f FROM (SELECT row_key, unnest(t) AS g FROM toks)),
+sized AS MATERIALIZED (
+  SELECT row_key, target, coalesce(norm, 1) AS norm FROM toks LEFT JOIN (
+    SELECT row_key, sqrt(sum(n * n)::DOUBLE) AS norm
+    FROM (SELECT row_key, f, count(*) AS n FROM grams GROUP BY ALL) GROUP BY row_key) USING (row_key)),
+cells AS (SELECT m, c FROM range(4) AS ms(m), range(4) AS cs(c)),
+w0 AS (SELECT m, c, 4096 AS f, 0::BIGINT AS w FROM cells),
+{", ".join(_linear_step(t) for t in range(LINEAR.iterations + 1))},
+scales AS (
+  SELECT m, sum(floor(abs(s) * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT)::DOUBLE / (1e6::DOUBLE * count(*)) AS scale
+  FROM s{LINEAR.iterations} WHERE target BETWEEN 0 AND 3 GROUP BY m),
+scaled AS (SELECT row_key, m, c, s / scale AS x FROM s{LINEAR.iterations} JOIN scales USING (m))"""
+for _m, _name in enumerate(LINEAR.losses):
+    ORACLES[f"linear_{_name}"] = f"""{_LINEAR}
+SELECT row_key, c AS target FROM scaled WHERE m = {_m}
+QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY round(x, 9) DESC, c) = 1"""
+ORACLES["linear_ensemble"] = f"""{_LINEAR}
+SELECT row_key, c AS target FROM (SELECT row_key, c, sum(x) AS x FROM scaled GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY round(x, 9) DESC, c) = 1"""
+
 # --- CSV in and out --------------------------------------------------------------------
 
 
@@ -762,6 +947,9 @@ def _read(text: str) -> str:
     return f"CASE WHEN {text} NOT IN ({missing}) THEN {text} END AS text"
 
 
+ORACLES["path_or_frame"] = f"""WITH {DOCS}
+SELECT ID, {_read('text')}, target, 0 AS source FROM docs
+UNION ALL SELECT ID, text, target, unnest([1, 2]) FROM docs"""
 ORACLES["csv_round_trip"] = f"WITH {DOCS} SELECT ID, {_read('text')}, target FROM docs"
 ORACLES["csv_many_files"] = f"""WITH {DOCS}
 SELECT ID, {_read('text')}, CASE WHEN target % 3 < 2 THEN target::VARCHAR END AS target FROM docs"""

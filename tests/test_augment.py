@@ -145,6 +145,27 @@ def test_naive_augment_and_accumulation(corpus):
     assert set(total.columns) == {"row_key", "ID", "text", "target", "aug_kind"}
 
 
+def test_score_batches_bounds_batches_and_keeps_the_model(corpus):
+    def factory():
+        state = {"batches": 0}
+
+        def model(texts):
+            state["batches"] += 1
+            sizes = texts.fillna("").str.len()
+            assert len(texts) == 1 or sizes.sum() <= 40
+            return texts.map(lambda t: f"{state['batches']}|{len(texts)}")
+
+        return model
+
+    texts = ["x" * 10] * 9 + ["y" * 500, None, "", "z" * 39]
+    for _ in range(2):
+        df = corpus(texts).coalesce(1)
+        rows = score_batches(df, factory, "seen", max_bytes=40).collect()
+        assert [r.text for r in rows] == texts
+    numbers = [int(r.seen.split("|")[0]) for r in rows if r.seen]
+    assert numbers == sorted(numbers) and len(set(numbers)) >= 4
+
+
 def test_score_batches_loads_once_per_task(corpus):
     def factory():
         return lambda texts: texts.fillna("").str.upper()

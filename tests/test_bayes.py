@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from corpusmith.operators import models
-from corpusmith.operators.bayes import BayesSpec, train_bayes
+from corpusmith.operators.bayes import BayesSpec, fold_number, train_bayes, train_folds
 
 TEXTS = ["red red apple", "green apple", "blue sea sea", "blue sky", None, "", "red sea apple sky"]
 TARGETS = [0, 0, 1, 1, 1, 0, None]
@@ -85,3 +85,44 @@ def test_best_of_several_specs(corpus):
     model, f1 = models.train_best(df, df, specs)
     assert f1 == max(models.evaluate(df, models.train(df, s)).head()[0] for s in specs)
     assert model.spec in specs
+
+
+def test_fold_models_are_trained_on_the_other_folds(corpus):
+    texts, targets = TEXTS * 6, [t if t is not None else 5 for t in TARGETS * 6]
+    specs = [BayesSpec(1, 64, 3), BayesSpec(2, 32, 3)]
+    df = corpus(texts, targets)
+    rows = df.select("*", fold_number(3).alias("fold")).collect()
+    assert {r.fold for r in rows} == {0, 1, 2}
+    for spec, model in zip(specs, train_folds(df, specs, 3)):
+        assert model.spec == spec
+        scored = {r.row_key: r for r in models.score(df, model).collect()}
+        for row in rows:
+            rest = [r for r in rows if r.fold != row.fold]
+            labels = [r.target if r.target < 3 else None for r in rest]
+            want = expected([r.text for r in rest], labels, row.text, spec)
+            assert [round(x * 1e6) for x in scored[row.row_key].raw] == want
+            assert sum(scored[row.row_key].probs) == pytest.approx(1.0)
+
+
+def test_cross_validation_takes_the_better_specification(corpus):
+    # the order of two words says the class, single words don't
+    texts, targets = ["up down", "down up"] * 40, [0, 1] * 40
+    df = corpus(texts, targets)
+    specs = [BayesSpec(1, 64, 2), BayesSpec(2, 64, 2)]
+    model, f1 = models.cross_validated(df, specs, 4)
+    assert model.spec == specs[1] and f1 == 1.0
+    assert all(r.target == (r.text == "down up") for r in models.predict(df, model).collect())
+    # of equal ones the first, and without labelled rows too
+    assert models.cross_validated(df, [specs[1], specs[1]], 2)[0].spec is specs[1]
+    model, f1 = models.cross_validated(df.where("false"), specs, 2)
+    assert model.spec == specs[0] and f1 == 0.0
+
+
+def test_fold_bounds(corpus):
+    df = corpus(TEXTS, TARGETS)
+    with pytest.raises(ValueError):
+        train_folds(df, [BayesSpec(1, 64, 2), BayesSpec(1, 64, 3)], 3)
+    with pytest.raises(ValueError):
+        train_folds(df, [BayesSpec(1, 1 << 16, 7)], 5)
+    with pytest.raises(ValueError):
+        train_folds(df, [BayesSpec(1, 64, 2)], 1)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmith.operators.bayes import BayesSpec
 from corpusmith.operators.dictionary import PivotLookup, correction_lookup
 from corpusmith.operators.eda import SynonymLookup
 from corpusmith.operators.models import TextModelSpec
@@ -10,6 +11,7 @@ from corpusmith.operators.synth import LIST_MARKER
 from corpusmith.plans import flows
 from corpusmith.profiles import KOREAN
 from corpusmith.sources.readers import read_corpus
+from corpusmith.sources.sinks import write_corpus
 
 SPEC = TextModelSpec(num_features=256, max_iter=3, num_classes=3)
 
@@ -72,6 +74,27 @@ def test_soft_flow(small, resources):
     assert out.where("aug_kind = 'recovered' and text <> '복구'").isEmpty()
 
 
+def test_relabel_run_takes_paths_and_frames(spark, small, tmp_path):
+    spec = BayesSpec(num_features=256, num_classes=3)
+    swapped = small.withColumn("target", F.when(F.col("ID") == "r3", 1).when(F.col("ID") == "r4", None).otherwise(F.col("target")))
+    out = flows.relabel_run(small, swapped, spec)
+    assert out.columns == swapped.columns and out.count() == 60
+    paths = [str(tmp_path / "train.csv"), str(tmp_path / "relabel.parquet")]
+    write_corpus(small, paths[0], fmt="csv")
+    write_corpus(swapped, paths[1])
+    read = flows.relabel_run(*paths, spec, spark)
+    assert read.columns == ["ID", "text", "target"]
+    told = {r.ID: r.target for r in out.collect()}
+    assert told == {r.ID: r.target for r in read.collect()}
+    # the label that was wrong and the one that was missing
+    truth = {r.ID: r.target for r in small.collect()}
+    assert told["r4"] == truth["r4"] and told["r3"] == truth["r3"]
+    with pytest.raises(ValueError):
+        flows.relabel_run(small, 5, spec)
+    with pytest.raises(ValueError):
+        flows.relabel_run(None, small, spec)
+
+
 def test_notebook_flow(small, resources):
     out = flows.notebook_flow(small, resources, [SPEC], KOREAN)
     # every text has a token without a round trip
