@@ -165,6 +165,7 @@ def _result(texts: list[bytes | None], marks: list, arrange: Arrange | None, min
     numbers: defaultdict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+    numbers.default_factory = None  # a cycle, which would keep the words in memory
     rows = runs_of(ids, lengths, min_length)
     # words of a run after its first period are dropped
     change = np.zeros(len(ids) + 1, np.int64)

@@ -2,23 +2,25 @@
 
 Phrases of one to ``max_words`` words are frequent in a language if they occur at least
 ``min_count`` times. A sample of the documents (one of ``SAMPLE``, by hash) proposes the
-phrases that are frequent in it at a lowered threshold. One full pass then counts
-exactly all words, the proposed phrases, and their negative border: every phrase
-that is not proposed although the phrases without its first and without its last word
-are. The border is not listed; the pass counts it where it occurs.
+phrases that are frequent in it at a lowered threshold. One full pass then counts the
+proposed phrases and their negative border: every phrase that is not proposed although
+the phrases without its first and without its last word are (of single words, every
+one). The border is not listed; the pass counts it where it occurs, under a 64-bit hash.
+A border phrase can only be frequent if its hash occurs often enough.
 
 A phrase that was not counted holds a border phrase, and is frequent only if that
-one is. So if no border phrase is frequent, the counts are complete. Otherwise an
-expansion pass counts every phrase that holds a frequent border phrase and was not
-counted before. Whatever is frequent has then been counted, for a phrase that holds
-one of the new phrases holds the border phrase too; so one expansion closes the set,
-and results do not depend on the sample.
+one is. So if no border phrase can be frequent, the counts are complete. Otherwise an
+expansion pass counts these border phrases by themselves, and every phrase that holds
+one and was not counted before. Whatever is frequent has then been counted, for a
+phrase that holds one of the new phrases holds the border phrase too; so one expansion
+closes the set, and results do not depend on the sample.
 
 The proposed phrases are sent to the tasks as a bitmap of ``2 ** BITS`` hashed places,
-16 MB whatever their number. A phrase that shares its place with a proposed one
-counts as proposed, which costs time and changes no count: counts are kept by the
-phrase itself. Tasks add up the phrases of ``SLICE_BYTES`` of text before any shuffle;
-shuffles are sums by phrase, so neither a hot language nor a hot word is gathered.
+16 MB whatever their number. A phrase that shares its place, or its hash, with another
+counts as proposed, or as a border phrase to look at, which costs time and changes no
+result: counts that matter are kept by the phrase itself. Tasks add up the phrases of
+``SLICE_BYTES`` of text before any shuffle; shuffles are sums by phrase or hash, so neither
+a hot language nor a hot word is gathered.
 
 Texts are lower-cased (A to Z) and split into pieces at ``.,;:!?`` and at line ends;
 words are what lies between spaces and tabs. A null text is empty, a null language is
@@ -50,7 +52,7 @@ MIN_COUNT = 100
 TOP = 2000
 SAMPLE = 16
 BITS = 27
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # parts of a language that are ranked for themselves first
 _SALTS = 64
 
@@ -65,12 +67,11 @@ _ROWS = pa.schema(
         ("lang", pa.string()),
         ("k", pa.int32()),
         ("phrase", pa.string()),
-        ("place", pa.int64()),
-        ("known", pa.bool_()),
+        ("hash", pa.int64()),
         ("n", pa.int64()),
     ]
 )
-_DDL = "lang string, k int, phrase string, place long, known boolean, n long"
+_DDL = "lang string, k int, phrase string, hash long, n long"
 
 
 class Level(NamedTuple):
@@ -80,7 +81,7 @@ class Level(NamedTuple):
     of: np.ndarray  # the phrase there
     first: np.ndarray  # an occurrence of each phrase
     count: np.ndarray
-    place: np.ndarray  # hashed, below 2 ** BITS
+    hash: np.ndarray
 
 
 class Pieces:
@@ -94,18 +95,19 @@ class Pieces:
         numbers[_CUT]  # the cut is number 0
         self.lang = lang
         self.ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        numbers.default_factory = None  # a cycle, which would keep the words in memory
         seed = xxhash.xxh64_intdigest(lang.encode())
         digest = xxhash.xxh64_intdigest
         self.hashes = np.fromiter((digest(w, seed) for w in numbers), np.uint64, len(numbers))
         self.names = pa.array([w if w != _CUT else b"" for w in numbers], pa.binary())
 
-    def places(self, first: np.ndarray, k: int) -> np.ndarray:
-        """Hashed places of the phrases of ``k`` words at ``first``."""
+    def hashed(self, first: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the phrases of ``k`` words at ``first``."""
         x = np.full(len(first), k, np.uint64)
         for i in range(k):
             x = (x ^ self.hashes[self.ids[first + i]]) * np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(29)
-        return (x >> np.uint64(64 - BITS)).astype(np.int64)
+        return x
 
     def words(self) -> Level:
         at = np.flatnonzero(self.ids > 0)
@@ -127,20 +129,32 @@ class Pieces:
 
     def _level(self, at: np.ndarray, key: np.ndarray, k: int) -> Level:
         _, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return Level(at, of, at[first], count, self.places(at[first], k))
+        return Level(at, of, at[first], count, self.hashed(at[first], k))
 
-    def rows(self, level: Level, k: int, known: np.ndarray) -> pa.RecordBatch:
-        parts = [self.names.take(pa.array(self.ids[level.first + i])) for i in range(k)]
-        phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-        return self.batch([phrase.cast(pa.string()), level.place, known, level.count], k)
+    def rows(self, level: Level, k: int, which: np.ndarray) -> pa.RecordBatch:
+        """Counts of some phrases of a level, by the phrase."""
+        first = level.first[which]
+        parts = [self.names.take(pa.array(self.ids[first + i])) for i in range(k)]
+        phrase = (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string())
+        return self.batch(k, phrase, level.count[which])
 
-    def batch(self, columns: list, k: int) -> pa.RecordBatch:
-        n = len(columns[0])
+    def batch(self, k: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+        n = len(phrase)
         lang, length = pa.array([self.lang] * n, pa.string()), pa.array(np.full(n, k, np.int32))
-        return pa.RecordBatch.from_arrays([lang, length, *map(pa.array, columns)], schema=_ROWS)
+        hashes = pa.array(np.zeros(n, np.int64))
+        return pa.RecordBatch.from_arrays([lang, length, phrase, hashes, pa.array(count)], schema=_ROWS)
 
 
-def _is_in(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _by_hash(level: Level, which: np.ndarray) -> pa.RecordBatch:
+    """Counts of some phrases of a level, by their hash."""
+    n = int(which.sum())
+    none, length = pa.nulls(n, pa.string()), pa.array(np.full(n, -1, np.int32))
+    hashes = pa.array(level.hash[which].view(np.int64))
+    return pa.RecordBatch.from_arrays([none, length, none, hashes, pa.array(level.count[which])], schema=_ROWS)
+
+
+def _is_in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -159,29 +173,42 @@ def _levels(pieces: Pieces, known: np.ndarray, upto: int):
     for k in range(1, upto + 1):
         if k > 1:
             level = pieces.longer(level, is_known, k)
-        is_known = _is_in(known, level.place)
+        is_known = _is_in(known, level.hash)
         yield k, level, is_known
 
 
-def _count(texts: DataFrame, known: Broadcast, lengths: range) -> DataFrame:
-    """``(lang, k, phrase, place, known, n)``: exact counts of all words and of the
-    phrases both of whose shorter parts are known, of the given lengths; with words
-    come the totals of the languages, as ``k = 0``."""
+def _sampled_counts(texts: DataFrame, known: Broadcast, k: int) -> DataFrame:
+    """By hash, counts of the phrases of ``k`` words whose shorter parts are known."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for pieces in _pieces_of(batch):
+                for length, level, _ in _levels(pieces, known.value, k):
+                    if length == k:
+                        yield _by_hash(level, np.ones(len(level.first), bool))
+
+    return _summed(texts, run)
+
+
+def _count(texts: DataFrame, known: Broadcast, max_words: int) -> DataFrame:
+    """``(lang, k, phrase, hash, n)``: counts of the known phrases, counts of the border
+    by hash (``k = -1``), and the words of each language (``k = 0``)."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for pieces in _pieces_of(batch):
-                for k, level, is_known in _levels(pieces, known.value, lengths[-1]):
-                    if k in lengths:
-                        yield pieces.rows(level, k, is_known)
-                    if k == 1 == lengths[0]:
-                        yield pieces.batch([[""], [0], [True], [len(level.at)]], 0)
+                for k, level, is_known in _levels(pieces, known.value, max_words):
+                    yield pieces.rows(level, k, is_known)
+                    yield _by_hash(level, ~is_known)
+                    if k == 1:
+                        yield pieces.batch(0, pa.array([""]), np.array([len(level.at)]))
 
     return _summed(texts, run)
 
 
 def _expand(texts: DataFrame, known: Broadcast, failed: Broadcast, max_words: int) -> DataFrame:
-    """As ``_count``, of the phrases that hold a failed one and were not counted."""
+    """As ``_count``, of the border phrases that failed, and of the phrases that hold
+    one and were not counted."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -189,16 +216,16 @@ def _expand(texts: DataFrame, known: Broadcast, failed: Broadcast, max_words: in
                 size = len(pieces.ids)
                 holds = np.zeros(size + 1, bool)  # has the phrase here a failed one in it?
                 whole = np.r_[pieces.ids > 0, False]  # is there a phrase of this length?
-                for k, level, _ in _levels(pieces, known.value, max_words):
+                for k, level, is_known in _levels(pieces, known.value, max_words):
                     if k > 1:
                         whole = np.r_[whole[:-1] & whole[1:], False]
                         holds = np.r_[holds[:-1] | holds[1:], False] & whole
                         new = holds.copy()
                         new[level.at] = False
                         found = pieces.listed(np.flatnonzero(new), k)
-                        if len(found.first):
-                            yield pieces.rows(found, k, np.ones(len(found.first), bool))
-                    hit = _is_in(failed.value, level.place)
+                        yield pieces.rows(found, k, np.ones(len(found.first), bool))
+                    hit = _is_in(failed.value, level.hash) & ~is_known
+                    yield pieces.rows(level, k, hit)
                     holds[level.at[hit[level.of]]] = True
 
     return _summed(texts, run)
@@ -206,16 +233,15 @@ def _expand(texts: DataFrame, known: Broadcast, failed: Broadcast, max_words: in
 
 def _summed(texts: DataFrame, run) -> DataFrame:
     counted = texts.select("lang", "text").mapInArrow(run, _DDL)
-    return counted.groupBy("lang", "k", "phrase", "place", "known").agg(F.sum("n").alias("n"))
+    return counted.groupBy("lang", "k", "phrase", "hash").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(phrases: DataFrame) -> np.ndarray:
     """The places of ``phrases`` as bits, put together by Spark from at most
     ``2 ** BITS / 32768`` rows of 4 KB."""
-    place = F.col("place") + 1  # Spark's buckets begin with 1
+    place = F.shiftrightunsigned("hash", 64 - BITS) + 1  # Spark's buckets begin with 1
     rows = (
-        phrases.select("place")
-        .groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        phrases.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     )
     bits = np.zeros(((1 << BITS) // 32768, 4096), np.uint8)
@@ -240,14 +266,13 @@ def frequent_phrases(
     proposed = np.zeros((1 << BITS) // 8, np.uint8)
     for k in range(1, max_words):
         sent = context.broadcast(proposed)
-        counts = _count(sampled, sent, range(k, k + 1))
-        proposed = proposed | _bitmap(counts.where((F.col("k") == k) & (F.col("n") >= lowered)))
+        counts = _sampled_counts(sampled, sent, k)
+        proposed = proposed | _bitmap(counts.where(F.col("n") >= lowered))
         sent.unpersist()
     known = context.broadcast(proposed)
     wanted = (F.col("n") >= min_count) | (F.col("k") == 0)
-    counted = stage(_count(docs, known, range(1, max_words + 1)).where(wanted), "phrases")
-    frequent = counted.where("k > 0")
-    failed = frequent.where(~F.col("known") & (F.col("k") < max_words))
+    counted = stage(_count(docs, known, max_words).where(wanted), "phrases")
+    frequent, failed = counted.where("k > 0"), counted.where("k = -1")
     if failed.head(1):
         border = context.broadcast(_bitmap(failed))
         more = stage(_expand(docs, known, border, max_words).where(wanted), "phrases")

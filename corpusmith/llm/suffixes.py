@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def text_slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows with at most ``max_bytes`` of text together, or one row."""
-    sizes = texts.cast(pa.large_binary()).to_pandas().map(lambda x: len(x) if x is not None else 0)
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
     start = held = 0
-    for i, size in enumerate(sizes.tolist()):
+    for i, size in enumerate(sizes.to_pylist()):
         if held and held + size > max_bytes:
             yield start, i
             start, held = i, 0
