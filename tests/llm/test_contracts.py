@@ -188,4 +188,4 @@ def test_pipeline_run_is_registered(spark):
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     names = {n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
