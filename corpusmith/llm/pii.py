@@ -2,22 +2,25 @@
 
 Base spans follow fixed patterns: e-mail and IP addresses, card numbers (14 to 19
 digits that pass the Luhn check) and international phone numbers (10 to 15
-digits). They always stay. Looser patterns propose more spans of the same kinds:
-addresses with the signs spelled out, IPv6 addresses, phone numbers without a
-country, numbers grouped like a card's.
-
-Five labelers vote on every candidate: the strict pattern, a gazetteer (top-level
-domains, country codes, reserved networks, issuers), the words before it, its
-borders and its form. Expectation-maximisation (Dawid and Skene) estimates from
-the votes of the whole corpus how far each labeler can be trusted, for each kind
-by itself. With the probabilities it gives, a naive Bayes classifier is trained on
-features of the spans; a looser span is added if the classifier is sure of it
-and no other span is in its place.
+digits). They always stay. Looser patterns propose more spans: addresses with the
+signs spelled out, IPv6 addresses, phone numbers without a country, numbers grouped
+like a card's, and secrets, which are what follows a key word and ``=`` or ``:``.
+
+Five labelers vote on every candidate: its form, a gazetteer (top-level domains,
+country codes, reserved networks, issuers, lengths of keys), the words before it, its
+borders and its length. Expectation-maximisation (Dawid and Skene) estimates from
+the votes of the whole corpus how far each labeler can be trusted. It is anchored:
+base spans are true, matches of a base pattern that fail its check are not, and
+only looser candidates are uncertain. Labelers are shared by all kinds, so that kinds
+without failing matches, or with few candidates, learn from the others; how often a
+looser candidate is true is estimated for each kind. With the probabilities it gives,
+a naive Bayes classifier is trained on features of the spans; a looser span is
+added if the classifier is sure of it and no other span is in its place.
 
 Texts are read once; candidates with a little text around them are stored, and
 everything else works on those. Votes are counted before they are gathered, at
-most 32 patterns for a kind, so the estimates are a few rows. A text's spans are
-gathered by document, which is no more than the text itself held.
+most 480 patterns, so the estimates are a few rows. A text's spans are gathered by
+document, which is no more than the text itself held.
 
 Null texts count as empty and have no spans. Repeated rows get equal results,
 ids may be null or repeat, an empty table gives an empty result.
@@ -33,6 +36,8 @@ from corpusmith.functions.columns import let
 from corpusmith.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
+# those that only the method finds come last
+ALL_KINDS = (*KINDS, "secret")
 ROUNDS = 25
 SURE = 0.9
 _BUCKETS = 1024
@@ -48,6 +53,7 @@ BASE = {
     "card": r"[0-9](?<![0-9][0-9])(?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_KEY_WORD = "(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
 LOOSE = {
     "email": (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}+"
@@ -56,6 +62,9 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "secret": (
+        rf"(?<={_KEY_WORD}['\"]? {{0,2}}[:=] {{0,2}}['\"]?)(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{{8,256}}+=*+"
+    ),
 }
 # what a text must have for a pattern to match at all
 _NEEDS = {
@@ -68,15 +77,26 @@ _NEEDS = {
     ("card", False): lambda t: t.rlike(r"[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]"),
     ("phone", True): lambda t: F.contains(t, F.lit("+")),
     ("phone", False): lambda t: t.rlike(r"[0-9]{3}[.-][0-9]{4}"),
+    ("secret", False): lambda t: t.rlike(rf"{_KEY_WORD}['\"]? {{0,2}}[:=]"),
 }
-# fixed values: gazetteers
-DOMAINS = "com org net edu gov io info biz de fr es uk it nl eu ch at be us ca au jp cn in br ru".split()
-COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 62 63 64 65 66 81 82 86 90 91".split()
+# fixed values: gazetteers. Every two letters may be a country's domain; the others are
+# those of general use
+DOMAINS = (
+    "com org net edu gov mil int arpa info biz name pro aero coop museum jobs mobi tel travel cat asia post "
+    "app dev page blog shop site online store tech cloud xyz top club live news email"
+).split()
+# country calling codes as they are assigned, by zone
+COUNTRY_CODE = (
+    r"^(?:1|2(?:[07]|1[12368]|[2346][0-9]|5[0-8]|9[01789])|3(?:[0-469]|5[0-9]|7[0-9]|8[0-35-79])"
+    r"|4(?:[013-9]|2[013])|5(?:[1-8]|0[0-9]|9[0-9])|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|7"
+    r"|8(?:[1246]|0[08]|5[02356]|7[08]|8[0-368])|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68]))"
+)
 CUES = {
     "email": "mail|contact|write|kontakt|schreib|correo|courriel|contacto",
     "ip": r"\bip\b|host|server|address|adresse|direcci|client|login",
     "card": "card|visa|master|amex|credit|karte|carte|tarjeta|payment",
     "phone": r"phone|\btel|call|fax|mobile|anruf|telefon|téléphone|appel|llame|contact",
+    "secret": _KEY_WORD,
 }
 
 
@@ -136,7 +156,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(row_no, doc_id)`` of all rows, and the candidate spans ``(row_no, kind,
     base, strict, start, stop, match, before, after)``; both are stored."""
     text = F.coalesce(docs["text"], F.lit(""))
-    found = [F.coalesce(_candidates(text, k, b), F.array()) for k in KINDS for b in (True, False)]
+    patterns = [(k, True) for k in BASE] + [(k, False) for k in LOOSE]
+    found = [F.coalesce(_candidates(text, k, b), F.array()) for k, b in patterns]
     rows = stage(
         docs.select(
             F.monotonically_increasing_id().alias("row_no"),
@@ -169,38 +190,49 @@ def _votes() -> Column:
     """One bit for each of the five labelers."""
     kind, match, before = F.col("kind"), F.lower("match"), F.lower("before")
     digits = _digits(F.col("match"))
+    domain = F.regexp_extract(match, r"([a-z0-9-]+)$", 1)
+    well_formed = (
+        F.when(kind == "email", match.rlike(r"(?:\.|[\[({]dot[\])}]) ?[a-z]{2,}$"))
+        .when(kind == "ip", F.col("strict") | F.contains("match", F.lit(":")))
+        .when(kind == "card", F.length(digits).between(14, 19) & passes_luhn(digits))
+        .when(kind == "phone", F.col("strict") | (F.length(digits) == 10) & digits.rlike("^[2-9]"))
+        .otherwise(match.rlike("[0-9]") & match.rlike("[a-z]") & (F.length("match") >= 16))
+    )
     known = (
-        F.when(kind == "email", F.regexp_extract(match, r"([a-z0-9-]+)$", 1).isin(DOMAINS))
+        F.when(kind == "email", domain.rlike("^[a-z]{2}$") | domain.isin(DOMAINS))
         .when(kind == "ip", ~match.rlike(r"^(?:0+|2[4-5][0-9]|22[4-9]|23[0-9])\."))
         .when(kind == "card", digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"))
-        .otherwise(
-            F.array_contains(
-                F.array(*map(F.lit, COUNTRY_CODES)), F.left(digits, F.lit(1))
-            )
-            | F.array_contains(F.array(*map(F.lit, COUNTRY_CODES)), F.left(digits, F.lit(2)))
-        )
+        .when(kind == "phone", ~F.contains("match", F.lit("+")) | digits.rlike(COUNTRY_CODE))
+        .otherwise(match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|ghp|gho|xox[abp]|akia).{12,})$"))
     )
     cue = F.lit(False)
     for k, words in CUES.items():
         cue = F.when(kind == k, before.rlike(words)).otherwise(cue)
     free = ~before.rlike(r"[\p{L}\p{N}_]$") & ~F.col("after").rlike(r"[\p{L}\p{N}_]")
-    form = (
+    length = (
         F.when(kind == "email", match.rlike(r"^[a-z0-9]") & (F.length(match) <= 64))
         .when(kind == "ip", F.length(match).between(7, 39) & ~before.rlike(r"(?:\bv|version) ?$"))
         .when(kind == "card", F.length(digits).isin(14, 15, 16, 19))
-        .otherwise(F.length(digits).between(10, 13))
+        .when(kind == "phone", F.length(digits).between(10, 13))
+        .otherwise(F.length(match) >= 20)
     )
     votes = F.lit(0)
-    for i, vote in enumerate((F.col("strict"), known, cue, free, form)):
+    for i, vote in enumerate((well_formed, known, cue, free, length)):
         votes = votes + F.when(vote, 1 << i).otherwise(0)
     return votes
 
 
 _LABELERS = 5
+# what is known of a candidate before any vote
+_FALSE, _TRUE, _OPEN = 0, 1, 2
+
 
+def _anchor() -> Column:
+    return F.when(F.col("strict"), _TRUE).when(F.col("base"), _FALSE).otherwise(_OPEN)
 
-def _posterior(votes: Column, state: Column) -> Column:
-    yes, no = state["prior"], 1.0 - state["prior"]
+
+def _posterior(votes: Column, prior: Column, state: Column) -> Column:
+    yes, no = prior, 1.0 - prior
     for i in range(_LABELERS):
         voted = votes.bitwiseAND(F.lit(1 << i)) > 0
         yes = yes * F.when(voted, state["hit"][i]).otherwise(1.0 - state["hit"][i])
@@ -213,8 +245,8 @@ def _total(items: Column, value) -> Column:
 
 
 def estimate(patterns: Column, rounds: int = ROUNDS) -> Column:
-    """Expectation-maximisation in one row over ``array<struct<votes, n>>``:
-    ``array<struct<votes, p>>``, the probability of each pattern of votes."""
+    """Expectation-maximisation in one row over ``array<struct<kind, anchor, votes, n>>``,
+    kinds by their place in ``ALL_KINDS``: ``array<struct<kind, anchor, votes, p>>``."""
 
     def voted(bit: int):
         return lambda x: x["votes"].bitwiseAND(F.lit(bit)) > 0
@@ -229,39 +261,45 @@ def estimate(patterns: Column, rounds: int = ROUNDS) -> Column:
             ]
         )
 
+    def belief(x: Column, state: Column) -> Column:
+        told = _posterior(x["votes"], F.get(state["prior"], x["kind"]), state)
+        return F.when(x["anchor"] == _OPEN, told).otherwise(x["anchor"].cast("double"))
+
     def score(state: Column) -> Column:
         return F.transform(
             patterns,
             lambda x: F.struct(
+                x["kind"].alias("kind"),
+                x["anchor"].alias("anchor"),
                 x["votes"].alias("votes"),
                 x["n"].cast("double").alias("n"),
-                _posterior(x["votes"], state).alias("p"),
+                belief(x, state).alias("p"),
             ),
         )
 
-    def maximise(scored: Column) -> Column:
-        def right(x):
-            return x["n"] * x["p"]
+    def right(x):
+        return x["n"] * x["p"]
 
-        def wrong(x):
-            return x["n"] * (1.0 - x["p"])
+    def prior(scored: Column, kind: int) -> Column:
+        mine = F.filter(scored, lambda x: (x["kind"] == kind) & (x["anchor"] == _OPEN))
+        return let(mine, lambda m: (_total(m, right) + 1.0) / (_total(m, lambda x: x["n"]) + 2.0))
 
-        prior = (_total(scored, right) + 1.0) / (_total(scored, lambda x: x["n"]) + 2.0)
+    def maximise(scored: Column) -> Column:
         return F.struct(
-            prior.alias("prior"),
+            F.array(*[prior(scored, k) for k in range(len(ALL_KINDS))]).alias("prior"),
             rates(scored, right).alias("hit"),
-            rates(scored, wrong).alias("miss"),
+            rates(scored, lambda x: x["n"] * (1.0 - x["p"])).alias("miss"),
         )
 
     start = F.struct(
-        F.lit(0.5).alias("prior"),
+        F.array(*[F.lit(0.5)] * len(ALL_KINDS)).alias("prior"),
         F.array(*[F.lit(0.8)] * _LABELERS).alias("hit"),
         F.array(*[F.lit(0.2)] * _LABELERS).alias("miss"),
     )
     last = F.aggregate(
         F.sequence(F.lit(1), F.lit(rounds)), start, lambda state, _: let(score(state), maximise)
     )
-    return let(last, lambda s: F.transform(score(s), lambda x: F.struct(x["votes"].alias("votes"), x["p"].alias("p"))))
+    return let(last, lambda s: F.transform(score(s), lambda x: x.dropFields("n")))
 
 
 def _features() -> Column:
@@ -283,24 +321,29 @@ def _features() -> Column:
 
 def classify(spans: DataFrame) -> DataFrame:
     """``spans`` with ``p``, the final classifier's probability."""
+    place = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).cast("int") - 1
     voted = stage(
-        spans.select("*", F.xxhash64("row_no", "kind", "base", "start").alias("span_no"), _votes().alias("votes")),
-        "pii-votes",
+        spans.select("*", place.alias("kind_no"), _anchor().alias("anchor"), _votes().alias("votes")), "pii-votes"
     )
-    patterns = voted.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct("votes", "n")))
-    per_kind = patterns.groupBy("kind").agg(ordered.alias("patterns"))
-    beliefs = stage(per_kind.select("kind", F.inline(estimate(F.col("patterns")))), "pii-beliefs")
-    # at most 32 rows per kind
-    believed = voted.join(F.broadcast(beliefs), ["kind", "votes"])
+    counts = voted.groupBy("kind_no", "anchor", "votes").agg(F.count(F.lit(1)).alias("n"))
+    # at most 5 kinds x 3 anchors x 32 patterns of votes
+    entry = F.struct(F.col("kind_no").alias("kind"), "anchor", "votes", "n")
+    patterns = counts.agg(F.sort_array(F.collect_list(entry)).alias("patterns"))
+    told = patterns.select(F.inline(estimate(F.col("patterns")))).withColumnRenamed("kind", "kind_no")
+    beliefs = stage(told, "pii-beliefs")
+    believed = voted.join(F.broadcast(beliefs), ["kind_no", "anchor", "votes"])
     described = believed.select("row_no", "kind", "base", "start", "p", F.explode(_features()).alias("f"))
-    weight = F.log((F.sum("p") + 0.5) / (F.sum(1.0 - F.col("p")) + 0.5))
-    totals = believed.groupBy("kind").agg(weight.alias("prior"))
+    # a feature's counts start with one span, divided as the kind's spans are
+    share = (F.sum("p") + 0.5) / (F.count(F.lit(1)) + 1.0)
+    totals = believed.groupBy("kind").agg(share.alias("share"))
+    counts = described.groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1.0 - F.col("p")).alias("no"))
+    weight = F.log((F.col("yes") + F.col("share")) / (F.col("no") + 1.0 - F.col("share")))
+    prior = F.log(F.col("share") / (1.0 - F.col("share")))
     model = stage(
-        described.groupBy("kind", "f").agg(weight.alias("w")).join(F.broadcast(totals), "kind"),
+        counts.join(F.broadcast(totals), "kind").select("kind", "f", weight.alias("w"), prior.alias("prior")),
         "pii-model",
     )
-    # at most 4 kinds x 4 features x 1024 buckets
+    # at most 5 kinds x 4 features x 1024 buckets
     scores = (
         described.join(F.broadcast(model), ["kind", "f"])
         .groupBy("row_no", "kind", "base", "start")
@@ -357,7 +400,7 @@ def report(docs: DataFrame, sure: float = SURE) -> DataFrame:
     ``base`` and ``spans`` are arrays of ``kind:start:end``, by start and kind.
     """
     rows, spans = find_spans(docs, sure)
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
     label = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string"))
     item = F.struct("start", place.alias("place"), label.alias("label"), "strict", "kind")
     per_row = spans.groupBy("row_no").agg(F.sort_array(F.collect_list(item)).alias("items"))
