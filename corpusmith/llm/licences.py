@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from corpusmith.sources.staging import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a line that may name a holder of rights, in lower case; what SQL leaves out
-COPYRIGHT_LINE = r"(^|\n)[ \t/*#;]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 # fixed values: spellings that count as one
 EQUIVALENTS = {
     "licence": "license",
@@ -45,23 +43,21 @@ CUE = "(?i)licen[sc]e|permission|public domain"
 SENTENCE_END = r"([.!?]) +"
 # a line that names a year or a holder of rights, not wrapped text that begins with
 # "copyright notice" or "(c) You must"
-_YEAR = r"[\[<{(]?(?:(?:19|20)\d\d|19yy|(?i:year|yyyy))"
-_NO_HOLDER = (
+YEAR = r"[\[<{(]?(?:(?:19|20)\d\d|19yy|(?i:year|yyyy))"
+NO_HOLDER = (
     "Licen[sc]e|Holder|Owner|Notice|Law|Act|Statement|Right|Interest|Treat|Office|Status|Term|Infring|Protect"
 )
 HOLDER_LINE = (
     r"(^|\n)[ \t/*#;]*(?:©[^\n]*"
     r"|(?i:copyright)[ \t:]*(?:\([cC]\)|©)[^\n]*"
-    rf"|(?i:copyright|\(c\))[ \t:,]+{_YEAR}[^\n]*"
-    rf"|[Cc]opyright[ \t:]+(?:by[ \t]+)?(?!{_NO_HOLDER})[A-Z][a-z][^\n]*"
+    rf"|(?i:copyright|\(c\))[ \t:,]+{YEAR}[^\n]*"
+    rf"|[Cc]opyright[ \t:]+(?:by[ \t]+)?(?!{NO_HOLDER})[A-Z][a-z][^\n]*"
     r"|(?i:all rights reserved)[.!]?[ \t\r*/]*(?=\n|$))"
 )
 # empty lines, also of comments, part paragraphs
 PARAGRAPH_END = r"\n(?:[ \t\r/*#;]*\n)+"
 # a sentence's end inside a paragraph, which may be a line's end
 _WRAPPED_END = r"(?<=[.!?])\s[\s/*#;]*"
-# text on both sides of a line's end
-_WRAPPED = r"\w[^\n]*\n[\s\S]*\w"
 
 # fixed values: notices of public licences
 KNOWN = {
@@ -166,13 +162,17 @@ TITLES = {
 }
 
 
+def bodies() -> list[tuple[str, str]]:
+    """``(licence, text)`` of the files shipped. They are named after the licence; what
+    follows ``_`` tells versions apart."""
+    files = sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))
+    return [(file.stem.split("_")[0], file.read_text(encoding="utf-8")) for file in files]
+
+
 def whole_texts() -> dict[str, tuple[str, ...]]:
-    """Whole texts by licence, each without title and with all titles it may have.
-    Files are named after the licence; what follows ``_`` tells versions apart."""
+    """Whole texts by licence, each without title and with all titles it may have."""
     out: dict[str, list[str]] = {}
-    for file in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
-        name = file.stem.split("_")[0]
-        body = file.read_text(encoding="utf-8")
+    for name, body in bodies():
         out.setdefault(name, []).extend([body, *(f"{t}\n\n{body}" for t in TITLES.get(name, ()))])
     return {name: tuple(texts) for name, texts in out.items()}
 
@@ -212,7 +212,11 @@ def _wrapped_units(text: Column) -> Column:
         paragraphs,
         lambda p: F.struct(F.trim(p).alias("whole"), F.split(F.trim(p), _WRAPPED_END).alias("cut")),
     )
-    sentences = F.filter(F.flatten(of["cut"]), lambda u: u.rlike(CUE) & u.rlike(_WRAPPED))
+    # lines with words are counted, as a pattern over several lines tries each character
+    sentences = F.filter(
+        F.flatten(of["cut"]),
+        lambda u: u.rlike(CUE) & (F.size(F.filter(F.split(u, "\n"), lambda line: line.rlike(r"\w"))) > 1),
+    )
     several = F.filter(of, lambda p: F.size(F.filter(p["cut"], lambda u: u.rlike(r"\w"))) > 1)
     return F.concat(sentences, F.transform(several, lambda p: p["whole"]))
 

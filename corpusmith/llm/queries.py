@@ -271,35 +271,75 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 """
 
 
+# RE2 has no look-around: lines are judged one by one, and ends are marked and then split
+_WS_CLASS = r"[ \t\n\x0B\f\r]"
+_MARGIN = r"^[ \t/*#;]*"
+_HOLDER_BEFORE = r"[Cc]opyright[ \t:]+(?:by[ \t]+)?"
+_HOLDER_RULES = (
+    rf"{_MARGIN}©",
+    rf"{_MARGIN}(?i:copyright)[ \t:]*(?:\([cC]\)|©)",
+    rf"{_MARGIN}(?i:copyright|\(c\))[ \t:,]+{licences.YEAR}",
+    rf"{_MARGIN}(?i:all rights reserved)[.!]?[ \t\r*/]*$",
+)
+
+
 def _canonical_sql(text: str) -> str:
-    out = f"translate({text}, '{licences.UPPER}', '{licences.LOWER}')"
-    out = f"regexp_replace({out}, {_quoted(licences.COPYRIGHT_LINE)}, '\\1', 'g')"
+    rules = " OR ".join(f"regexp_matches(line, {_quoted(rule)})" for rule in _HOLDER_RULES)
+    named = f"regexp_matches(line, {_quoted(f'{_MARGIN}{_HOLDER_BEFORE}[A-Z][a-z]')})"
+    other = f"regexp_matches(line, {_quoted(f'{_MARGIN}{_HOLDER_BEFORE}(?:{licences.NO_HOLDER})')})"
+    lines = (
+        f"list_transform(string_split({text}, chr(10)), "
+        f"lambda line: CASE WHEN {rules} OR ({named} AND NOT {other}) THEN '' ELSE line END)"
+    )
+    out = f"translate(array_to_string({lines}, chr(10)), '{licences.UPPER}', '{licences.LOWER}')"
     for spelling, one in licences.EQUIVALENTS.items():
         out = f"replace({out}, {_quoted(spelling)}, {_quoted(one)})"
     out = rf"regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
-    return f"sha256(trim({out}))"
+    return f"sha256(trim({out}, ' '))"
 
 
-_KNOWN_SQL = ", ".join(
-    f"({_quoted(name)}, {_quoted(text)})" for name, of in licences.KNOWN.items() for text in of
-)
+def _known_sql() -> str:
+    notices = [(n, t) for group in (licences.KNOWN, licences.HEADERS) for n, of in group.items() for t in of]
+    titles = [(n, t) for n, of in licences.TITLES.items() for t in of]
+    listed = [", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in of) for of in (notices, licences.bodies(), titles)]
+    return f"""notices(licence, t) AS (VALUES {listed[0]}),
+bodies(licence, t) AS (VALUES {listed[1]}),
+titles(licence, title) AS (VALUES {listed[2]}),
+known AS (
+  SELECT {_canonical_sql("t")} AS digest, min(licence) AS licence FROM (
+    SELECT * FROM notices UNION ALL SELECT * FROM bodies
+    UNION ALL SELECT licence, title || chr(10) || chr(10) || t FROM bodies JOIN titles USING (licence))
+  GROUP BY 1)"""
+
 
 OP8_SQL = rf"""
-WITH known AS (
-  SELECT {_canonical_sql("t")} AS digest, min(name) AS licence
-  FROM (VALUES {_KNOWN_SQL}) AS k(name, t) GROUP BY 1),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH {_known_sql()},
+d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+cued AS (SELECT * FROM d WHERE regexp_matches(text, {_quoted(licences.CUE)})),
+paragraphs AS (
+  SELECT row_no, trim(p, ' ') AS p FROM (
+    SELECT row_no, unnest(regexp_split_to_array(text, {_quoted(licences.PARAGRAPH_END)})) AS p FROM cued)
+  WHERE regexp_matches(p, {_quoted(licences.CUE)})),
+parted AS (
+  SELECT row_no, p, string_split(regexp_replace(
+    p, '([.!?]){_WS_CLASS}(?:{_WS_CLASS}|[/*#;])*', '\1' || chr(1), 'g'), chr(1)) AS cut
+  FROM paragraphs),
 units AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(text, {_quoted(licences.SENTENCE_END)}, '\1' || chr(10), 'g'), chr(10))) AS unit
-  FROM d),
+  SELECT row_no, unnest(string_split(
+    regexp_replace(text, {_quoted(licences.SENTENCE_END)}, '\1' || chr(10), 'g'), chr(10))) AS unit FROM cued
+  UNION ALL
+  SELECT row_no, unit FROM (SELECT row_no, unnest(cut) AS unit FROM parted)
+  WHERE regexp_matches(unit, '[0-9A-Za-z_][^\n]*\n(?s:.*)[0-9A-Za-z_]')
+  UNION ALL
+  SELECT row_no, p FROM parted WHERE len(list_filter(cut, lambda u: regexp_matches(u, '[0-9A-Za-z_]'))) > 1),
 hits AS (
-  SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-  FROM (SELECT doc_id, {_canonical_sql("unit")} AS digest FROM units
+  SELECT row_no, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+  FROM (SELECT row_no, {_canonical_sql("unit")} AS digest FROM units
         WHERE regexp_matches(unit, {_quoted(licences.CUE)})) JOIN known USING (digest)
-  GROUP BY doc_id),
-whole AS (SELECT doc_id, {_canonical_sql("text")} AS digest FROM d)
+  GROUP BY row_no),
+whole AS (SELECT row_no, doc_id, {_canonical_sql("text")} AS digest FROM d)
 SELECT doc_id, digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
-FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (doc_id)
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (row_no)
 """
 
 OP11_SQL = rf"""

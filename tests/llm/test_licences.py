@@ -3,7 +3,11 @@
 import re
 import textwrap
 
+import duckdb
+
 from corpusmith.llm import licences
+from corpusmith.llm.queries import ORACLES
+from tests.test_queries import rows_of
 
 TEXTS = licences.whole_texts()
 APACHE, GPL = licences.KNOWN["Apache-2.0"][1], licences.KNOWN["GPL-3.0"][1]
@@ -75,3 +79,28 @@ def test_only_true_copyright_lines_are_left_out(spark):
     docs = spark.createDataFrame([(i, f"a\n{x}\nb") for i, x in enumerate(lines)], "i int, text string")
     got = [r[1] for r in sorted(docs.select("i", licences.canonical(docs["text"])).collect())]
     assert [g == "a b" for g in got] == [False] * 4 + [True] * 5
+
+
+def test_sql_states_the_same_rule(spark, tmp_path):
+    """Whole files, wrapped notices, paragraphs, holders' lines and odd rows."""
+    comment = textwrap.indent(textwrap.fill(APACHE, 60), " * ")
+    mpl = licences.HEADERS["MPL-2.0"][0]
+    texts = [t for of in TEXTS.values() for t in of]
+    texts += [wrapped(TEXTS[n][0], w) for n in ("MIT", "ISC", "Unlicense", "GPL-2.0") for w in (45, 80)]
+    texts += [f"{licences.TITLES['MIT'][0]}\n\n{h}\n\n{TEXTS['MIT'][0]}" for h in (
+        "Copyright (c) 2019 Jane Doe", "© Jane Doe", "Copyright by Jane Doe", "Copyright License Holder", "(c) You must",
+        "copyright jane", "All rights reserved.", "Copyright [yyyy] [name]", " * Copyright 2020 X")]
+    texts += [
+        None, "", "licence", "Released under the MIT License.", f"/*\n * Copyright 2020 Jane Doe\n{comment}\n */\nint x;",
+        f"Some words.\n\n{textwrap.fill(GPL, 72)}\n\nMore words. {GPL} {GPL}", f"A title\n\n{textwrap.fill(mpl, 60)}\n\nEnd",
+        f"Words! {APACHE}\r\nand\r\n\r\n{APACHE}\r\n", "x\nReleased under the MIT Licence. Licensed under CC BY-NC 4.0.\n",
+        f"ends.\x0b{GPL}\x0bwords", "word " * 30_000 + GPL,
+    ]
+    docs = spark.createDataFrame([(i // 2 if i > 100 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(ORACLES["op8_licences"]).df()
+    got = licences.scan(docs).toPandas()
+    assert rows_of(got) == rows_of(want[list(got.columns)])
+    assert got["licence"].notna().sum() > 90 and (got["n_notices"] > 0).sum() > 8
