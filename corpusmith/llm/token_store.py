@@ -23,19 +23,21 @@ equal or null ids are all stored, side by side, ordered by their ids' bytes.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmith.llm.byte_bpe import ChunkCache, local_file
+from corpusmith.llm.byte_bpe import local_file
 from corpusmith.llm.common import Batches, per_document
 from corpusmith.sources.staging import new_path
 
@@ -202,29 +204,127 @@ class Shard:
         return start, self.ids[start : int(self.ends[i])]
 
 
+# how byte-level tokenizers cut a text
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# from here on what is a letter is left to the library
+_BEYOND_LATIN = chr(0x250)
+# byte-level models write bytes as letters: the printable ones of Latin-1 as they are,
+# the others in order from U+0100 on
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTERS = {b: 0x100 + i for i, b in enumerate(x for x in range(0x100) if x not in _PRINTABLE)}
+_SPACE = chr(_LETTERS[0x20])
+
+
+# the pieces never go across a single space before a visible character: a new one starts
+# there. White space after a space, in the widest sense, makes that a closer question.
+_CUT = regex.compile(r" (?=\S)")
+_WIDE = re.compile(r" (?:\s|\Z)")
+
+
+def cut(text: str) -> list[str]:
+    """Chunks that are encoded by themselves, without the space before each but the first."""
+    return _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+
+
+class PackedCache:
+    """Encode texts through a bounded cache of chunks, as packed ids of ``width`` bytes.
+
+    A new chunk of Latin letters and marks is cut into the tokenizer's pieces here, and they go to its
+    model as they are, which is quicker than its whole chain of steps; other chunks
+    take that chain (``encode_others``). When ``entries`` chunks are new, those of the
+    round before go.
+    """
+
+    def __init__(
+        self,
+        tokenize: Callable[[str], list],
+        encode_others: Callable[[str], list[int]],
+        width: int,
+        entries: int = 700_000,
+    ):
+        self.tokenize, self.encode_others = tokenize, encode_others
+        self.width, self.entries = width, entries
+        self.packed: dict[int, bytes] = {}  # of each id that has come up
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # marks, white space and words without a space
+
+    def _pack(self, ids: list[int]) -> bytes:
+        try:
+            return b"".join(map(self.packed.__getitem__, ids))
+        except KeyError:
+            self.packed.update((i, i.to_bytes(self.width, "little")) for i in ids)
+            return b"".join(map(self.packed.__getitem__, ids))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            letters = _SPACE + piece[1:]
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return self._pack([token.id for token in self.tokenize(letters)])
+
+    def _known(self, piece: str) -> bytes:
+        if piece[0] == " " and len(piece) > 1:
+            word = piece[1:]
+            return self.cache.get(word) or self.older.get(word) or self._piece(piece)
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self._piece(piece)
+            if len(self.pieces) > 100_000:
+                self.pieces.clear()
+            if len(piece) <= 64:
+                self.pieces[piece] = found
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        if max(chunk) >= _BEYOND_LATIN:
+            return self._pack(self.encode_others(chunk))
+        if chunk[0] == " " and chunk[1:].isalpha():
+            return self._piece(chunk)
+        return b"".join(map(self._known, _PIECES.findall(chunk)))
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = cut(text)
+        head, parts[0] = parts[0], ""
+        found = list(map(self.cache.get, parts))
+        # the first chunk has no space before it and is not cached
+        found[0] = self.chunk(head) if head else b""
+        if None in found:
+            older, new = self.older, {}
+            for i, f in enumerate(found):
+                if f is None:
+                    part = parts[i]
+                    ids = new.get(part)
+                    if ids is None:
+                        new[part] = ids = older.get(part) or self.chunk(" " + part)
+                    found[i] = ids
+            if len(self.cache) + len(new) > self.entries:
+                self.older, self.cache = self.cache, {}
+            # long chunks hardly come again
+            self.cache.update((p, f) for p, f in new.items() if len(p) <= 64)
+        return b"".join(found)
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[str], bytes]:
-    """One per Python worker, kept from task to task."""
+def _encoder(path: str, width: int) -> Callable[[str], bytes]:
+    """One per Python worker, kept from task to task: packed ids of a text."""
     file = local_file(path)
     tokenizer, whole = Tokenizer.from_file(file), Tokenizer.from_file(file)
     # chunks are those of texts that hold no added token
     tokenizer.encode_special_tokens = True
     added = [token.content for token in whole.get_added_tokens_decoder().values()]
 
-    def encode_many(chunks: list[str]) -> tuple[list[int], np.ndarray]:
-        # together they are a text with the same cuts; offsets tell them apart
-        encoded = tokenizer.encode("".join(chunks), add_special_tokens=False)
-        starts = np.cumsum([0, *map(len, chunks[:-1])])
-        at = np.array([a for a, _ in encoded.offsets], np.int64)
-        owner = np.searchsorted(starts, at, "right") - 1
-        return encoded.ids, np.bincount(owner, minlength=len(chunks))
+    def encode_others(chunk: str) -> list[int]:
+        return tokenizer.encode(chunk, add_special_tokens=False).ids
 
-    cache = ChunkCache(encode_many, entries=1_400_000)
+    cache = PackedCache(tokenizer.model.tokenize, encode_others, width)
 
     def encode_text(text: str) -> bytes:
         # an added token ends the text before it, so white space is cut otherwise there
         if any(token in text for token in added):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(whole.encode(text, add_special_tokens=False).ids, f"<u{width}").tobytes()
         return cache.encode(text)
 
     return encode_text
@@ -237,11 +337,10 @@ def encode(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """
 
     def make():
-        encode_text, end = _encoder(path), np.array([end_id], f"<u{width}").tobytes()
+        encode_text, end = _encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
 
         def columns(texts: pa.Array) -> list[pa.Array]:
-            packed = (np.frombuffer(encode_text(x.as_py()), "<u4") for x in texts)
-            return [pa.array([p.astype(f"<u{width}").tobytes() + end for p in packed], pa.binary())]
+            return [pa.array([encode_text(x) + end for x in texts.to_pylist()], pa.binary())]
 
         return columns
 
