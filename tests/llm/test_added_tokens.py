@@ -8,7 +8,7 @@ from corpusmith.llm import token_store
 
 def test_added_tokens_are_what_the_library_makes_of_them():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer, encode = Tokenizer.from_file(path), token_store._encoder(path)
+    tokenizer, encode = Tokenizer.from_file(path), token_store._encoder(path, 4)
     end = "<|endoftext|>"
     texts = [
         f"a {end} b", end, f"{end}{end}", f"a  {end}  b", f"a\n {end}\n b", f" {end} ", f"a {end}b c  d {end}",
