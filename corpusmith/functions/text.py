@@ -48,9 +48,15 @@ def token_pieces(text: Column) -> Column:
     return F.split(text, f"(?<={WS.klass()})(?!{WS.klass()})(?!$)")
 
 
-def count_matches(text: Column, one_char_pattern: str) -> Column:
-    """How many characters match; cheap when few do."""
-    return F.length(text) - F.length(F.regexp_replace(text, one_char_pattern, ""))
+def count_matches(text: Column, pattern: str) -> Column:
+    """How many characters the matches hold. A pattern that matches runs of characters
+    makes one replacement per run."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+def _runs(klass: str) -> str:
+    # possessive, so that no way back is kept for the characters of a run
+    return f"{klass}++"
 
 
 # --- soft noise -------------------------------------------------------------
@@ -77,9 +83,8 @@ def soft_noise_ratio(text: Column, profile: TextProfile) -> Column:
     Null rather than NaN: Spark orders NaN above every number, so NaN would
     pass a ``> threshold`` filter.
     """
-    # each match is a single character, so deleting the matches counts them
     def ratio(t: Column) -> Column:
-        n = count_matches(t, profile.noise_pattern)
+        n = count_matches(t, profile.noise_runs)
         return F.bround(F.try_divide(n.cast("double"), F.length(t)), 4)
 
     return let(text, ratio)
@@ -112,7 +117,7 @@ def remove_signal(text: Column, profile: TextProfile) -> Column:
 
 def count_noise(text: Column, profile: TextProfile) -> Column:
     """Length of what ``remove_signal`` leaves."""
-    return count_matches(text, profile.signal.complement().klass())
+    return count_matches(text, _runs(profile.signal.complement().klass()))
 
 
 def reduce_text(text: Column, profile: TextProfile) -> Column:
@@ -139,11 +144,11 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
     """
     terms = profile.allowed_terms
     singles = CharSet.chars("".join(t for t in terms if len(t) == 1))
-    noise = (profile.signal | singles).complement().klass()
+    noise = _runs((profile.signal | singles).complement().klass())
     live_piece = _live_piece_pattern(terms)
 
     def kept(x: Column) -> Column:
-        return F.length(F.regexp_replace(x, singles.klass(), ""))
+        return F.length(F.regexp_replace(x, _runs(singles.klass()), ""))
 
     def corrected(t: Column, live: Column) -> Column:
         return let(

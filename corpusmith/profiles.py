@@ -80,7 +80,14 @@ class TextProfile:
     @property
     def noise_pattern(self) -> str:
         """One noise character: an isolated capital or a disallowed character."""
-        disallowed = self.allowed.complement().klass()
+        return self._noise(self.allowed.complement().klass())
+
+    @property
+    def noise_runs(self) -> str:
+        """The same characters, disallowed ones in runs."""
+        return self._noise(f"{self.allowed.complement().klass()}++")
+
+    def _noise(self, disallowed: str) -> str:
         if self.isolated_capital_is_noise:
             return f"(?<![A-Z])[A-Z](?![A-Z])|{disallowed}"
         return disallowed
