@@ -201,3 +201,28 @@ def test_lookups_do_not_depend_on_the_broadcast_bound(spark, limit):
     want = eda_augment(df, SynonymLookup(synonyms.synonyms, 1 << 20), ops=("synonym", "insert"))
     assert got == sorted(map(tuple, want.select("target", "aug_kind", "text").collect()))
     assert len(got) == 6
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("most_listed", [0, 16])
+def test_large_dictionaries_are_shuffled_once_and_never_broadcast(spark, monkeypatch, most_listed):
+    """Files of 64 KB are far below Spark's own limit, what they hold in copies is not."""
+    monkeypatch.setattr("corpusmith.operators.eda.MOST_LISTED", most_listed)
+    words = spark.range(3000).select(F.concat(F.lit("word"), "id").alias("token"))
+    text = F.concat_ws(" ", F.lit("word7"), F.concat(F.lit("word"), "id"), F.lit("none"), F.lit("word7"))
+    df = spark.range(300).select(F.col("id").cast("string").alias("row_key"), text.alias("text"))
+    lookup = di.correction_lookup(words.select("token", F.upper("token").alias("correction")), broadcast_bytes=0)
+    fixed = di.correct_tokens(df, lookup)
+    assert sorted(r.text for r in fixed.collect()) == sorted(f"WORD7 WORD{i} none WORD7" for i in range(300))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("n")
+    pairs = words.select("token", numbers).withColumn("synonym", F.concat("token", F.lit("-"), "n"))
+    drawn = eda_augment(df, SynonymLookup(pairs, 0), ["synonym"])
+    small = eda_augment(df, SynonymLookup(pairs), ["synonym"])
+    assert sorted(drawn.collect()) == sorted(small.collect())
+    for plan in (_plan(fixed), _plan(drawn)):
+        assert "Broadcast" not in plan
+        # no copies of the dictionary: all that is exploded are the keys of the texts
+        assert plan.count("Generate explode") == 1
