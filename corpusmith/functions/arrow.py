@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,3 +26,15 @@ def map_column(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*names, output])
 
     return df.select(*[df[f"`{c}`"] for c in names], source.alias("_source")).mapInArrow(run, schema)
+
+
+def bounded_runs(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs that add up to ``most`` at most, or hold one entry."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

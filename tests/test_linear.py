@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from corpusmith.operators import linear
 from corpusmith.operators.linear import LOSSES, LinearSpec, train_linear
 
 TEXTS = ["red red apple", "green apple", "blue sea sea", "blue sky", None, "", "red sea apple sky", "sky sky red"]
@@ -121,3 +124,21 @@ def test_bounds():
         LinearSpec(losses=("softmax", "cubes"))
     with pytest.raises(ValueError):
         LinearSpec(num_features=1 << 20)
+
+
+def test_memory_does_not_grow_with_a_batch():
+    """What a task holds beside its batch is bounded, however many texts are in that."""
+    spec = LinearSpec(num_features=4096, num_classes=4)
+    n_rows, n_tokens = 4000, 400
+    numbers = np.random.default_rng(1).integers(0, 4096, n_rows * n_tokens, dtype=np.int32)
+    found = pa.ListArray.from_arrays(np.arange(0, len(numbers) + 1, n_tokens, dtype=np.int32), pa.array(numbers))
+    target = pa.array(np.arange(n_rows, dtype=np.int32) % 4)
+    whole = pa.RecordBatch.from_arrays([target, found], ["target", "found"])
+    weights = np.random.default_rng(2).integers(-9, 9, (4097, 4, 4))
+    tracemalloc.start()
+    (sums,) = linear._gradient_rows(spec, weights)(iter([whole]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    (parts,) = linear._gradient_rows(spec, weights)(whole.slice(i, 500) for i in range(0, n_rows, 500))
+    assert sums == parts
