@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
@@ -14,6 +16,7 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmith.functions.arrow import bounded_runs
 from corpusmith.functions.columns import argmax
 from corpusmith.operators.bayes import BayesFolds, BayesModel, BayesSpec, train_bayes, train_folds
 from corpusmith.operators.metrics import macro_f1
@@ -201,18 +204,6 @@ def _model(name: str, factory: Callable[[], Callable]) -> Callable:
     return _loaded[name]
 
 
-def _bounded(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs that add up to ``most`` at most, or hold one entry."""
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > most:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def score_batches(
     df: DataFrame,
     factory: Callable[[], Callable],
@@ -229,13 +220,18 @@ def score_batches(
     needs (memory, cores, accelerators) for this stage alone.
     """
     name = uuid.uuid4().hex
+    schema = df.schema if output in df.columns else df.withColumn(output, F.col("text")).schema
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch["text"].str.encode("utf-8").str.len().fillna(0).astype(int)
-            for start, stop in _bounded(sizes.tolist(), max_bytes):
-                part = batch.iloc[start:stop]
-                yield part.assign(**{output: _model(name, factory)(part["text"])})
-
-    schema = df.schema if output in df.columns else df.withColumn(output, F.col("text")).schema
-    return df.mapInPandas(run, schema, profile=profile)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for start, stop in bounded_runs(sizes, max_bytes):
+                # only the texts of the part become Python's, and only while it lasts
+                part = batch.slice(start, stop - start)
+                texts = part.column("text")
+                kind = part.column(output).type if output in part.schema.names else texts.type
+                made = pa.array(_model(name, factory)(texts.to_pandas()), kind, from_pandas=True)
+                columns = [made if c == output else part.column(c) for c in schema.names]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema, profile=profile)

@@ -226,3 +226,11 @@ def test_large_dictionaries_are_shuffled_once_and_never_broadcast(spark, monkeyp
         assert "Broadcast" not in plan
         # no copies of the dictionary: all that is exploded are the keys of the texts
         assert plan.count("Generate explode") == 1
+
+
+def test_score_batches_leaves_other_columns_alone(spark):
+    """Whole numbers beside a null, once turned into floats with all of their batch."""
+    rows = [("a", 2**53 + 1), ("b", None), (None, 7)]
+    df = spark.createDataFrame(rows, "text string, n bigint").coalesce(1)
+    out = score_batches(df, lambda: lambda texts: texts.fillna("").str.upper(), "seen")
+    assert [tuple(r) for r in out.collect()] == [("a", 2**53 + 1, "A"), ("b", None, "B"), (None, 7, "")]
