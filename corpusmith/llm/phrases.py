@@ -52,7 +52,7 @@ MIN_COUNT = 100
 TOP = 2000
 SAMPLE = 16
 BITS = 27
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 # parts of a language that are ranked for themselves first
 _SALTS = 64
 

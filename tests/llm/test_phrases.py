@@ -1,8 +1,13 @@
 """Phrase mining against plain counting, with samples that miss phrases."""
 
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
+from unittest import mock
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmith.llm import phrases
@@ -86,3 +91,26 @@ def test_no_rows(spark):
     docs = frame(spark, ROWS).where("false")
     assert phrases.collocations(docs, min_count=3).collect() == []
     assert phrases.collocations(frame(spark, [(1, None, None)]), min_count=1).collect() == []
+
+
+def test_memory_is_that_of_a_slice_not_of_a_batch():
+    """A task holds the arrays of some text of its batch, in the counts and in the expansion."""
+    words = np.random.default_rng(1).integers(0, 5000, (1000, 700))
+    texts = [" ".join(f"w{w}" for w in row) for row in words]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    assert batch.nbytes > 3 << 20
+    known = np.zeros((1 << phrases.BITS) // 8, np.uint8)
+    for pieces in phrases._pieces_of(batch):
+        hashes = pieces.words().hash
+        place = (hashes >> np.uint64(64 - phrases.BITS)).astype(np.int64)
+        np.bitwise_or.at(known, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    sent = SimpleNamespace(value=known)
+    with mock.patch.object(phrases, "_summed", lambda texts, run: run):
+        runs = phrases._count(None, sent, 5), phrases._expand(None, sent, sent, 5)
+    for run in runs:
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6
