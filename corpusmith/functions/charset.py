@@ -3,7 +3,8 @@
 Java tests the members of ``[...]`` one range after another, so a class with a
 dozen ranges costs a dozen calls for every character that is *not* in it. Here
 the Latin-1 members become a bit set, and an intersection keeps the other ranges
-from being looked at for any Latin-1 character.
+from being looked at for any Latin-1 character. The other ranges are halved again and
+again by intersections, so that a character is compared with few of them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 
 _LATIN1_END = 0x100
 _LAST = 0x10FFFF
+# so many ranges are compared one after another
+_FEW = 3
 
 
 @dataclass(frozen=True)
@@ -69,16 +72,26 @@ class CharSet:
             for c in range(lo, min(hi, _LATIN1_END - 1) + 1)
         )
 
-    def _beyond(self) -> str:
-        return "".join(
-            f"\\x{{{max(lo, _LATIN1_END):x}}}-\\x{{{hi:x}}}"
-            for lo, hi in self.ranges
-            if hi >= _LATIN1_END
-        )
+    def _beyond(self) -> list[tuple[int, int]]:
+        return [(max(lo, _LATIN1_END), hi) for lo, hi in self.ranges if hi >= _LATIN1_END]
 
     def klass(self) -> str:
         """Java regex character class."""
         low, high = self._latin1(), self._beyond()
-        if low and high:
-            high = rf"[[^\x00-\xff]&&[{high}]]"
-        return f"[{low}{high}]"
+        if not high:
+            return f"[{low}]"
+        return rf"[{low}[[^\x00-\xff]&&{_halved(high)}]]" if low else _halved(high)
+
+
+def _span(lo: int, hi: int) -> str:
+    return f"\\x{{{lo:x}}}-\\x{{{hi:x}}}"
+
+
+def _halved(ranges: list[tuple[int, int]]) -> str:
+    """A class of the ranges in which each half is only looked at for characters between
+    its ends."""
+    if len(ranges) <= _FEW:
+        return f"[{''.join(_span(*r) for r in ranges)}]"
+    middle = len(ranges) // 2
+    halves = ranges[:middle], ranges[middle:]
+    return f"[{''.join(f'[{_span(h[0][0], h[-1][1])}&&{_halved(h)}]' for h in halves)}]"

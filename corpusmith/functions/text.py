@@ -140,38 +140,52 @@ def hard_noise_ratio(text: Column, profile: TextProfile) -> Column:
     cannot reach across. A piece that holds no term of two or more characters
     only loses its one-character terms, which one regex counts. So the ordered
     removal runs on the remaining, *live*, pieces alone (a small part of the
-    text), and their before/after difference corrects the counts.
+    text), and their before/after difference corrects the counts. Scripts of many
+    signal characters, as Hangul, are cut short before all that.
     """
     terms = profile.allowed_terms
     singles = CharSet.chars("".join(t for t in terms if len(t) == 1))
-    noise = _runs((profile.signal | singles).complement().klass())
+    single_runs = _runs(singles.klass())
+    meaning_runs = _runs((profile.signal.complement() | singles).complement().klass())
     live_piece = _live_piece_pattern(terms)
+    inner = _inner_pattern(profile)
 
-    def kept(x: Column) -> Column:
-        return F.length(F.regexp_replace(x, _runs(singles.klass()), ""))
+    def ratio(counts: Column) -> Column:
+        return _ratio_or_zero(counts["noise"], counts["total"])
+
+    def measured(x: Column, left_out: Column = F.lit(0)) -> Column:
+        """Noise, and the length, of what removing one-character terms leaves. The rest
+        without signal is a small part of the text, so only one pass is over all of it."""
+
+        def of_rest(rest: Column) -> Column:
+            noise = F.length(F.regexp_replace(rest, single_runs, ""))
+            total = F.length(x) - F.length(rest) + left_out
+            return let(noise, lambda n: F.struct(n.alias("noise"), (total + n).alias("total")))
+
+        return let(F.regexp_replace(x, meaning_runs, ""), of_rest)
+
+    def corrected(all_: Column, live: Column) -> Column:
+        def difference(before: Column, after: Column) -> Column:
+            noise = all_["noise"] - before["noise"] + count_noise(after, profile)
+            return _ratio_or_zero(noise, all_["total"] - before["total"] + F.length(after))
 
-    def corrected(t: Column, live: Column) -> Column:
         return let(
-            reduce_text(live, profile),
-            lambda r: _ratio_or_zero(
-                count_matches(t, noise)
-                - count_matches(live, noise)
-                + count_noise(r, profile),
-                kept(t) - kept(live) + F.length(r),
-            ),
+            F.struct(measured(live).alias("before"), reduce_text(live, profile).alias("after")),
+            lambda x: difference(x["before"], x["after"]),
         )
 
-    def by_pieces(t: Column) -> Column:
+    def by_pieces(t: Column, left_out: Column = F.lit(0)) -> Column:
         pieces = F.regexp_extract_all(t, F.lit(live_piece), F.lit(0))
-        return let(
-            F.array_join(pieces, "\x00"),
-            lambda live: F.when(
-                live == "",
-                _ratio_or_zero(count_matches(t, noise), kept(t)),
-            ).otherwise(corrected(t, live)),
-        )
+        both = F.struct(measured(t, left_out).alias("all"), F.array_join(pieces, "\x00").alias("live"))
+        return let(both, lambda x: F.when(x["live"] == "", ratio(x["all"])).otherwise(corrected(x["all"], x["live"])))
+
+    def of_shorter(t: Column) -> Column:
+        def by_shorter(s: Column) -> Column:
+            return by_pieces(s, F.length(t) - F.length(s))
 
-    return let(remove_spaces(text), by_pieces)
+        return let(F.regexp_replace(t, *inner), by_shorter)
+
+    return let(remove_spaces(text), of_shorter if inner else by_pieces)
 
 
 def _ratio_or_zero(noise: Column, total: Column) -> Column:
@@ -179,10 +193,33 @@ def _ratio_or_zero(noise: Column, total: Column) -> Column:
     return F.when(total.isNotNull(), F.coalesce(ratio, F.lit(0.0)))
 
 
+# a range of so many characters is a script's, whose stretches are worth cutting short
+_SCRIPT = 1000
+
+
+def _inner_pattern(profile: TextProfile) -> tuple[str, str] | None:
+    """What to replace in stretches of a script's signal characters, and the one character
+    to replace it with: from the first character that no term has to the last one.
+
+    Terms need a character of another script, so what lies between holds none and is
+    signal; the new character keeps the pieces on both sides apart. None where the
+    profile has no such script.
+    """
+    wide = CharSet(tuple(r for r in profile.signal.ranges if r[0] > 0xFF and r[1] - r[0] >= _SCRIPT))
+    used = CharSet.chars("".join(profile.allowed_terms))
+    unused = (wide.complement() | used).complement()
+    if not unused.ranges or any(all(c in wide for c in t) for t in profile.allowed_terms):
+        return None
+    end = unused.klass()
+    return f"{end}(?:{wide.klass()}*{end})?", chr(unused.ranges[0][0])
+
+
 def _live_piece_pattern(terms: Sequence[str]) -> str:
     """A maximal run of term characters that term or percent removal may change."""
     reachable = [t for t in terms if " " not in t]
-    run = f"[{CharSet.chars(''.join(reachable) + '%').klass()}\\p{{Nd}}]"
+    # no Hangul syllable is a digit; asking for its kind takes longer than for its place
+    digits = "[[^\\x{ac00}-\\x{d7a3}]&&\\p{Nd}]"
+    run = f"[{CharSet.chars(''.join(reachable) + '%').klass()}{digits}]"
     first_single = next((i for i, t in enumerate(reachable) if len(t) == 1), None)
     early = reachable[:first_single]
     late = reachable[first_single:] if first_single is not None else []
@@ -207,7 +244,8 @@ def _live_piece_pattern(terms: Sequence[str]) -> str:
         guard = CharSet.chars("".join(group)).klass() + seconds
         groups.append(f"(?={guard})(?:{options})")
     starts = CharSet.chars("".join(triggers | rests.keys())).klass()
-    return f"(?<!{run}){run}*?(?={starts})(?:{'|'.join(groups)}){run}*"
+    # most characters fail the first condition
+    return f"(?={run})(?<!{run}){run}*?(?={starts})(?:{'|'.join(groups)}){run}*"
 
 
 def _term_branch(first: str, rests: Sequence[str]) -> str:
