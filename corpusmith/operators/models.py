@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.arrow import bounded_runs
 from corpusmith.functions.columns import argmax
-from corpusmith.operators.bayes import BayesFolds, BayesModel, BayesSpec, train_bayes, train_folds
+from corpusmith.operators.bayes import SHARED, BayesFolds, BayesModel, BayesSpec, train_bayes, train_folds, words
 from corpusmith.operators.metrics import macro_f1
 from corpusmith.operators.relabel import ensemble_label, overwrite_target
 from corpusmith.profiles import WS
@@ -139,6 +139,8 @@ def relabel_ensemble(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     the row and need no join.
     """
     scored = df
+    if sum(isinstance(model, BayesModel | BayesFolds) for model in models) > 1:
+        scored = scored.withColumn(SHARED, words())
     for i, model in enumerate(models):
         scored = score(scored, model, f"_probs{i}", f"_raw{i}")
     raws = [F.col(f"_raw{i}") for i in range(len(models))]
@@ -181,6 +183,7 @@ def cross_validated(
     """
     trained = train_folds(df, specs, folds)
     scored = df.where(F.col("target").between(0, specs[0].num_classes - 1))
+    scored = scored.withColumn(SHARED, words())
     for i, model in enumerate(trained):
         scored = predict(scored, model, f"_prediction{i}")
     guesses = [
