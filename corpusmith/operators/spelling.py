@@ -9,7 +9,9 @@ shifts a character by as many places as it inserts, so what of one prefix has no
 match in the other prefix is no more than the edits either.
 
 The neighbours of a token are bounded by ``prefix`` and ``max_edits`` alone, and only
-distinct tokens travel, never texts.
+distinct tokens travel, never texts. Neighbourhoods are shuffled, never broadcast, and
+to a fixed number of tasks: a table of tokens is small and its neighbours are many, so
+what Spark would judge by the size of the table ends in one task or in the driver.
 """
 
 from __future__ import annotations
@@ -47,6 +49,23 @@ def deletions(token: Column, max_edits: int = MAX_EDITS, prefix: int = PREFIX) -
     return F.array_distinct(F.concat(*levels))
 
 
+def letters(token: Column) -> Column:
+    """The characters of a token as bits of a long: one of the lower 32 if a character
+    (modulo 32) occurs, one of the upper 32 if it does again.
+
+    Taking a character away or adding one changes one bit at most.
+    """
+
+    def add(seen: Column, char: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(char) % 32)
+        again = seen.bitwiseAND(bit) != 0
+        return seen.bitwiseOR(F.when(again, F.shiftleft(bit, 32)).otherwise(bit))
+
+    # an empty token is split into one empty string
+    chars = F.filter(F.split(token, ""), lambda char: char != "")
+    return F.aggregate(chars, F.lit(0).cast("long"), add)
+
+
 def spelling_corrections(
     unknown: DataFrame, known: DataFrame, max_edits: int = MAX_EDITS, prefix: int = PREFIX
 ) -> DataFrame:
@@ -58,19 +77,27 @@ def spelling_corrections(
     """
     if max_edits < 1 or prefix <= max_edits:
         raise ValueError("max_edits must be at least 1 and prefix larger than max_edits")
+    spark = unknown.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = known.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"))
-    wanted = unknown.select("token").distinct().join(counted, "token", "left_anti")
+    wanted = unknown.select("token").distinct().join(counted.hint("merge"), "token", "left_anti")
 
-    def keys(token: str) -> Column:
-        return F.explode(deletions(F.col(token), max_edits, prefix)).alias("key")
+    def keyed(tokens: DataFrame, token: str, bits: str) -> DataFrame:
+        # dealt out before and behind the step that makes many rows of one
+        dealt = tokens.repartition(parts, token).withColumn(bits, letters(F.col(token)))
+        keys = F.explode(deletions(F.col(token), max_edits, prefix)).alias("key")
+        return dealt.select("*", keys).repartition(parts, "key")
 
-    ours = wanted.where(F.col("token").isNotNull()).select("token", keys("token"))
-    theirs = counted.withColumnRenamed("token", "correction").select("correction", "n", keys("correction"))
+    ours = keyed(wanted.where(F.col("token").isNotNull()), "token", "_ours")
+    theirs = keyed(counted.withColumnRenamed("token", "correction"), "correction", "_theirs")
     near = F.abs(F.length("token") - F.length("correction")) <= max_edits
+    # an edit takes one character at most and adds one at most; cheaper than the distance
+    for a, b in (("_ours", "_theirs"), ("_theirs", "_ours")):
+        near &= F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) <= max_edits
     distance = F.levenshtein("token", "correction", max_edits)
     best = F.min(F.struct("distance", (-F.col("n")).alias("rank"), "correction")).alias("best")
     return (
-        ours.join(theirs, "key")
+        ours.join(theirs.hint("merge"), "key")
         .where(near)
         .withColumn("distance", distance)
         .where(F.col("distance") >= 0)

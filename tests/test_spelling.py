@@ -5,6 +5,8 @@ from itertools import product
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusmith.operators import dictionary, spelling
 
 
@@ -67,3 +69,25 @@ def test_counts_and_texts(corpus, spark):
     assert spelling.spelling_corrections(found.select("token"), known.where("false")).collect() == []
     with pytest.raises(ValueError):
         spelling.spelling_corrections(counts, known, 2, 2)
+
+
+def test_neighbourhoods_are_spread_and_never_broadcast(spark):
+    """Small tables of tokens have many neighbours: not for the driver, nor for one task."""
+    words = spark.range(400).select(F.substring(F.md5(F.col("id").cast("string")), 1, 9).alias("token"))
+    known = words.select(F.concat(F.lit("x"), F.substring("token", 2, 8)).alias("token"), F.lit(1).alias("n"))
+    found = spelling.spelling_corrections(words, known)
+    assert found.count() == 400
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    parts = 4 * spark.sparkContext.defaultParallelism
+    assert plan.count("hashpartitioning(key") >= 2
+    assert f", {parts}), REPARTITION_BY_NUM" in plan
+
+
+def test_letters_change_by_one_bit_at_most_per_character(spark):
+    words = ["", "a", "aa", "aaa", "abca", "é", "aé", "!a", "𝄞a", "zebra"]
+    rows = [(w, w[:i] + w[i + 1 :]) for w in words for i in range(len(w))]
+    both = spark.createDataFrame(rows, "longer string, shorter string")
+    bits = [spelling.letters(F.col(c)) for c in ("longer", "shorter")]
+    assert {r[0] <= 1 for r in both.select(F.bit_count(bits[0].bitwiseXOR(bits[1]))).collect()} == {True}
