@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
+from pyspark.ml.feature import IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from corpusmith.functions.arrow import bounded_runs
 from corpusmith.functions.columns import argmax
 from corpusmith.operators.bayes import SHARED, BayesFolds, BayesModel, BayesSpec, train_bayes, train_folds, words
+from corpusmith.operators.grams import HashedGrams
 from corpusmith.operators.metrics import macro_f1
 from corpusmith.operators.relabel import ensemble_label, overwrite_target
-from corpusmith.profiles import WS
 
 
 @dataclass(frozen=True)
@@ -56,19 +56,9 @@ ENSEMBLE = (
 
 
 def build_pipeline(spec: TextModelSpec) -> Pipeline:
-    pattern, gaps = (f"{WS.klass()}+", True) if spec.unit == "word" else ("(?s).", False)
     stages = [
-        RegexTokenizer(
-            inputCol="_text", outputCol="_tokens", pattern=pattern, gaps=gaps
-        )
+        HashedGrams(inputCol="_text", outputCol="_tf", numFeatures=spec.num_features, unit=spec.unit, n=spec.ngram)
     ]
-    column = "_tokens"
-    if spec.ngram > 1:
-        stages.append(NGram(n=spec.ngram, inputCol=column, outputCol="_grams"))
-        column = "_grams"
-    stages.append(
-        HashingTF(inputCol=column, outputCol="_tf", numFeatures=spec.num_features)
-    )
     column = "_tf"
     if spec.idf:
         stages.append(IDF(inputCol="_tf", outputCol="_idf"))
