@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.resource import ResourceProfile
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.arrow import bounded_runs
@@ -22,6 +22,7 @@ from corpusmith.operators.bayes import SHARED, BayesFolds, BayesModel, BayesSpec
 from corpusmith.operators.grams import HashedGrams
 from corpusmith.operators.metrics import macro_f1
 from corpusmith.operators.relabel import ensemble_label, overwrite_target
+from corpusmith.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,15 @@ ENSEMBLE = (
 )
 
 
-def build_pipeline(spec: TextModelSpec) -> Pipeline:
-    stages = [
-        HashedGrams(inputCol="_text", outputCol="_tf", numFeatures=spec.num_features, unit=spec.unit, n=spec.ngram)
-    ]
-    column = "_tf"
+def _grams(spec: TextModelSpec, output: str = "_tf") -> HashedGrams:
+    return HashedGrams(
+        inputCol="_text", outputCol=output, numFeatures=spec.num_features, unit=spec.unit, n=spec.ngram
+    )
+
+
+def _estimators(spec: TextModelSpec) -> list[Estimator]:
+    """What is fitted to the counts of n-grams."""
+    stages, column = [], "_tf"
     if spec.idf:
         stages.append(IDF(inputCol="_tf", outputCol="_idf"))
         column = "_idf"
@@ -75,26 +80,55 @@ def build_pipeline(spec: TextModelSpec) -> Pipeline:
             regParam=spec.reg_param,
         )
     )
-    return Pipeline(stages=stages)
+    return stages
+
+
+def build_pipeline(spec: TextModelSpec) -> Pipeline:
+    return Pipeline(stages=[_grams(spec), *_estimators(spec)])
+
+
+def _labels(spec: TextModelSpec) -> Column:
+    # all models know all classes, even those absent from this training set
+    classes = {"ml_attr": {"type": "nominal", "num_vals": spec.num_classes}}
+    return F.col("labels").alias("labels", metadata=classes)
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    return df.where(F.col("target").isNotNull()).select(
+        F.coalesce("text", F.lit("")).alias("_text"), F.col("target").cast("double").alias("labels")
+    )
 
 
 def train(df: DataFrame, spec: Spec = TextModelSpec()) -> Model:
     """Fit a classifier on ``text`` and ``target`` (0..num_classes-1)."""
     if isinstance(spec, BayesSpec):
         return train_bayes(df, spec)
-    # all models know all classes, even those absent from this training set
-    classes = {"ml_attr": {"type": "nominal", "num_vals": spec.num_classes}}
-    prepared = df.where(F.col("target").isNotNull()).select(
-        F.coalesce("text", F.lit("")).alias("_text"),
-        F.col("target").cast("double").alias("labels", metadata=classes),
-    )
-    return build_pipeline(spec).fit(prepared)
+    return build_pipeline(spec).fit(_prepared(df).select("_text", _labels(spec)))
 
 
 def train_ensemble(
     df: DataFrame, specs: Sequence[Spec] = ENSEMBLE
 ) -> list[Model]:
-    return [train(df, spec) for spec in specs]
+    """Fit a classifier per specification.
+
+    One pass counts the n-grams of all of them; each is then fitted to its staged counts
+    and reads no text again.
+    """
+    texts = {i: spec for i, spec in enumerate(specs) if isinstance(spec, TextModelSpec)}
+    if len(texts) < 2:
+        return [train(df, spec) for spec in specs]
+    frame = _prepared(df)
+    for i, spec in texts.items():
+        frame = _grams(spec, f"_tf{i}").transform(frame)
+    vectors = stage(frame.drop("_text"), "vectors")
+
+    def fitted(i: int, spec: Spec) -> Model:
+        if i not in texts:
+            return train(df, spec)
+        mine = vectors.select(F.col(f"_tf{i}").alias("_tf"), _labels(spec))
+        return PipelineModel([_grams(spec), *Pipeline(stages=_estimators(spec)).fit(mine).stages])
+
+    return [fitted(i, spec) for i, spec in enumerate(specs)]
 
 
 def score(

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.sql import functions as F
 
+from corpusmith.operators import models
 from corpusmith.operators.grams import HashedGrams
 from corpusmith.profiles import WS
 
@@ -45,6 +46,30 @@ def test_a_saved_model_is_the_same(spark, tmp_path):
     assert loaded.transform(df).head() == grams.transform(df).head()
 
 
+def test_an_ensemble_reads_its_texts_once_for_training(spark):
+    words = {0: "ball goal team", 1: "bank stock price", 2: "vote party law"}
+    rows = [(f"k{i}", None if i == 7 else f"{words[i % 3]} filler{i % 11}", i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_key string, text string, target int")
+    specs = [
+        models.TextModelSpec("word", 1, num_features=256, max_iter=5, num_classes=4),
+        models.TextModelSpec("char", 2, num_features=128, max_iter=5, num_classes=4, idf=True),
+    ]
+    alone = [models.train(df, spec) for spec in specs]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    counting = df.withColumn("text", F.udf(seen)("text"))
+    together = models.train_ensemble(counting, specs)
+    assert reads.value == 60
+    for one, other in zip(alone, together):
+        for a, b in zip(models.score(df, one).collect(), models.score(df, other).collect()):
+            assert a.row_key == b.row_key and len(b.probs) == 4
+            assert b.probs == pytest.approx(a.probs, abs=1e-6)
+
+
 def test_a_text_takes_a_fraction_of_the_time_of_mllib(spark):
     chance = random.Random(7)
     words = ["".join(chance.choice("abcdefghij") for _ in range(chance.randint(2, 9))) for _ in range(3000)]
