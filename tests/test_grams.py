@@ -38,6 +38,11 @@ def test_vectors_are_those_of_mllib(spark, unit, n, size):
         assert row._tf == row._plain, row._text
 
 
+def test_whitespace_is_that_of_the_profiles():
+    ws = {chr(c) for lo, hi in WS.ranges for c in range(lo, hi + 1)}
+    assert {chr(c) for c in range(0x110000) if chr(c).isspace()} == ws
+
+
 def test_a_saved_model_is_the_same(spark, tmp_path):
     df = spark.createDataFrame([("a b a",)], "_text string")
     grams = HashedGrams(inputCol="_text", outputCol="_tf", numFeatures=32, unit="char", n=2)
