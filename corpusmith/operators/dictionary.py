@@ -31,7 +31,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 32 << 20
 # A task sends the keys it has gathered when there are so many.
-MOST_ASKED = 1 << 20
+MOST_ASKED = 1 << 18
 
 
 class Answers(NamedTuple):
@@ -203,7 +203,7 @@ def _asked_by_task(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa
     def sent() -> list[pa.RecordBatch]:
         grouped = pa.concat_tables(asked).group_by("token", use_threads=False).aggregate([("_blocks", "distinct")])
         asked.clear()
-        return grouped.rename_columns({"_blocks_distinct": "_blocks"}).select(["token", "_blocks"]).to_batches()
+        return grouped.rename_columns({"_blocks_distinct": "_blocks"}).select(["token", "_blocks"]).to_batches(1 << 16)
 
     for batch in batches:
         of_block = batch.column("_block").to_numpy()
