@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmith.operators import dictionary as di
+from corpusmith.operators.eda import _runs
 
 
 def test_keys_of_a_task_are_sent_in_bounded_parts(monkeypatch):
@@ -35,3 +36,15 @@ def test_phrases_meet_their_texts_in_one_python_step(corpus):
     # the one that asks for phrases
     assert plan.count("MapInArrow") == 1 and plan.count("FlatMapCoGroupsInArrow") == 1
     assert "array<array<string>>" not in plan
+
+
+def test_runs_of_a_token_become_lists_across_batches():
+    rows = [("a", "1"), ("a", None), ("a", "3"), ("b", "4"), ("c", "5"), ("c", "6")]
+    for size in range(1, 7):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows[i : i + size])], ["token", "synonym"])
+            for i in range(0, len(rows), size)
+        ]
+        got = [tuple(r.values()) for b in _runs(iter(batches)) for r in b.to_pylist()]
+        assert got == [("a", ["1", None, "3"]), ("b", ["4"]), ("c", ["5", "6"])]
+    assert list(_runs(iter([]))) == []
